@@ -48,26 +48,25 @@ def lines(c: Text) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+def _fold_table() -> tuple[str, str, dict[str, str]]:
     """Lower-case characters whose case fold differs, taken from the Unicode data."""
-    singles, expansions = [], []
-    for point in range(sys.maxunicode + 1):
-        char = chr(point)
-        if char.lower() != char or char.casefold() == char:
-            continue
-        folded = char.casefold()
-        (singles if len(folded) == 1 else expansions).append((char, folded))
-    return "".join(a for a, _ in singles), "".join(b for _, b in singles), tuple(expansions)
+    chars = [c for c in map(chr, range(sys.maxunicode + 1)) if c.lower() == c != c.casefold()]
+    singles = [c for c in chars if len(c.casefold()) == 1]
+    expansions = {c: c.casefold() for c in chars if len(c.casefold()) > 1}
+    return "".join(singles), "".join(c.casefold() for c in singles), expansions
 
 
 def casefold(c: Text) -> Column:
     """Full Unicode case folding: ``lower`` plus the characters it leaves alone."""
     before, after, expansions = _fold_table()
     lowered = F.translate(F.lower(col(c)), before, after)
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in expansions])
-    special = "[" + "".join(a for a, _ in expansions) + "]"
-    expanded = F.aggregate(table, lowered, lambda text, pair: F.replace(text, pair["a"], pair["b"]))
-    return F.when(lowered.rlike(special), expanded).otherwise(lowered)
+    pairs = F.split(F.lit("|".join(f"{a}={b}" for a, b in expansions.items())), r"\|")
+    expanded = F.aggregate(
+        pairs,
+        lowered,
+        lambda text, pair: F.replace(text, F.substring_index(pair, "=", 1), F.substring_index(pair, "=", -1)),
+    )
+    return F.when(lowered.rlike("[" + "".join(expansions) + "]"), expanded).otherwise(lowered)
 
 
 def normalize(c: Text) -> Column:
@@ -110,3 +109,11 @@ def contains_any(c: Text, needles) -> Column:
 
 def count_matches(c: Text, pattern: str) -> Column:
     return F.regexp_count(col(c), F.lit(pattern))
+
+
+def compute(df, name: str, value: Column):
+    """Add a costly column so that later filters and columns read it instead of repeating it.
+
+    A generator is a barrier that predicates are not pushed through.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evidence_spark.functions.text import bind, contains_any, first_index, strip, window_around, words
+from evidence_spark.functions.text import bind, compute, contains_any, first_index, strip, window_around, words
+from evidence_spark.sources.tables import broadcast_checked
 
 UNSPECIFIED = "UNSPECIFIED"
 SNIPPET_WIDTH = 80
@@ -79,7 +80,7 @@ def discover_competitors(targets: DataFrame, evidence: DataFrame, lexicon=None)
         ~F.array_contains("own_chunks", F.col("chunk_id"))
     )
     return (
-        pairs.withColumn("snippet", keyword_snippet(F.col("text"), F.col("relationship"), lexicon))
+        compute(pairs, "snippet", keyword_snippet(F.col("text"), F.col("relationship"), lexicon))
         .where(F.col("snippet").isNotNull())
         .select("scope", "target_id", "rank", "chunk_id", "relationship", "snippet")
     )
@@ -153,3 +154,13 @@ def literal_facts(evidence: DataFrame, needles: list[str]) -> DataFrame:
         .groupBy("scope", "n.needle")
         .agg(F.bool_or("n.hit").alias("present"))
     )
+
+
+def with_default_strategy(targets: DataFrame, strategies: DataFrame | None) -> DataFrame:
+    """Add ``strategy``: the approved one for exactly this category and topic, else DEFAULT."""
+    if strategies is None:
+        return targets.withColumn("strategy", F.lit("DEFAULT"))
+    approved = strategies.select("category", "topic", F.col("strategy")).distinct()
+    return targets.join(broadcast_checked(approved), ["category", "topic"], "left").withColumn(
+        "strategy", F.coalesce("strategy", F.lit("DEFAULT"))
+    )

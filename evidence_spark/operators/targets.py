@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from evidence_spark.functions.concepts import ENUMERATION_CUES, SOURCE_CUES, SOURCE_WINDOW, cue_before
-from evidence_spark.functions.text import bind
+from evidence_spark.functions.text import bind, compute
 from evidence_spark.operators.anchoring import (
     BROAD,
     NARROW,
@@ -51,7 +51,7 @@ def plan_targets(
     )
     source_role = cue_before("text", "concept", source_cues, SOURCE_WINDOW)
     usable = (
-        placed.withColumn("focus", focus)
+        compute(placed, "focus", focus)
         .where(is_sufficient(F.col("focus"), concept))
         .where(~only_enumerated(F.col("focus"), concept, enumeration_cues))
         .select(
@@ -80,11 +80,9 @@ def signal_panel(
 ) -> DataFrame:
     """What the narrow and the broad context of every concept would allow."""
     concept, source_lines = F.col("concept"), F.col("source_lines")
-    placed = (
-        with_chunk_lines(refined, evidence)
-        .withColumn("narrow", anchor(concept, source_lines, NARROW))
-        .withColumn("broad", anchor(concept, source_lines, BROAD))
-    )
+    placed = with_chunk_lines(refined, evidence)
+    placed = compute(placed, "narrow", anchor(concept, source_lines, NARROW))
+    placed = compute(placed, "broad", anchor(concept, source_lines, BROAD))
     panel = [F.col("scope"), concept]
     for name in ("narrow", "broad"):
         focus = F.col(name)
