@@ -100,7 +100,7 @@ def strategy(
 
     def after_copula(copula: str) -> Column:
         # Splitting leaves what follows each occurrence; the text is cut there again for its full reach.
-        parts = F.split(question, copula, -1)
+        parts = F.split(question, rf"\Q{copula}\E", -1)
         rests = F.transform(
             F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
             lambda _p, i: F.substring(
