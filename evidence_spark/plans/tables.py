@@ -63,3 +63,25 @@ def evidence(spark: SparkSession, folder: str) -> DataFrame:
         "evidence",
         lambda: write_table(search(index(spark, folder), queries(spark, folder)), "evidence"),
     )
+
+
+def chunk_table(spark: SparkSession, folder: str) -> DataFrame:
+    """All chunks of both source types, written once."""
+    return once(spark, folder, "chunks", lambda: write_table(chunks(spark, folder), "all_chunks"))
+
+
+def corpus_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Every file is a scope; its chunks rank in corpus order."""
+    return chunk_table(spark, folder).select(
+        F.concat_ws(":", "source_type", "source_file").alias("scope"),
+        (F.col("page").cast("long") * 1_000_000 + F.col("ordinal")).alias("rank"),
+        "source_file",
+        "page",
+        "chunk_id",
+        "text",
+    )
+
+
+def query_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark query is a scope; its evidence ranks by score."""
+    return evidence(spark, folder).withColumnRenamed("query_id", "scope")
