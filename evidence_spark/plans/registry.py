@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evidence_spark.plans import corpus
+from evidence_spark.plans import attempts, concepts, corpus, exchange
 
-_PARTS = (corpus,)
+_PARTS = (corpus, concepts, attempts, exchange)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
