@@ -1,10 +1,14 @@
-"""Checks on a generated question, as column expressions."""
+"""Checks on a generated question, as column expressions.
+
+Where texts are compared, the arguments are their normal forms, so that each text
+is normalised once however many checks look at it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from evidence_spark.functions.text import Text, col, normalize, strip
+from evidence_spark.functions.text import Text, bind, col, normalize, strip
 
 # Fixed value: numbering repeated at the start of an answer.
 LEADING_NUMBER = r"^\s*\d+\s*[.):]\s+"
@@ -37,29 +41,28 @@ def wrong_texts(answers: Text, correct: Text) -> Column:
     return F.filter(col(answers), lambda _a, i: i != col(correct) - 1)
 
 
-def names_target(answer: Column, topic: Text) -> Column:
+def names_target(answer: Column, topic: Column) -> Column:
     """The answer contains the topic; the other direction does not count."""
-    return normalize(answer).contains(normalize(topic))
+    return answer.contains(topic)
 
 
-def role_holds(answer: Column, source_role: Text, entity: Text) -> Column:
+def role_holds(answer: Column, source_role: Text, entity: Column) -> Column:
     """A source target must not be answered with the entity it feeds."""
-    clash = normalize(answer).contains(normalize(entity))
-    return F.coalesce(~(col(source_role) & clash), F.lit(True))
+    return F.coalesce(~(col(source_role) & answer.contains(entity)), F.lit(True))
 
 
 def distractors_distinct(answer: Column, wrong: Column) -> Column:
     """No wrong answer contains the right one or is contained in it."""
-    right = normalize(answer)
-    return ~F.exists(
-        F.transform(wrong, normalize), lambda w: w.contains(right) | right.contains(w)
-    )
+    return ~F.exists(wrong, lambda w: w.contains(answer) | answer.contains(w))
 
 
-def language_holds(answers: Text, topic: Text) -> Column:
+def language_holds(answers: Text, normal: Column, topic: Text, normal_topic: Column) -> Column:
     """An answer naming an ASCII topic must be ASCII throughout."""
     ascii_topic = (strip(topic) != "") & ~col(topic).rlike(NON_ASCII)
-    mixed = F.exists(col(answers), lambda a: names_target(a, topic) & a.rlike(NON_ASCII))
+    mixed = F.exists(
+        F.arrays_zip(col(answers).alias("a"), normal.alias("n")),
+        lambda x: names_target(x["n"], normal_topic) & x["a"].rlike(NON_ASCII),
+    )
     return ~(ascii_topic & mixed)
 
 
@@ -78,14 +81,26 @@ def first_failure(
 
     ``target`` maps topic, named_entity, source_role and source_entity to columns.
     """
-    answer, named = correct_text(answers, correct), col(target["named_entity"])
+    named, topic = col(target["named_entity"]), target["topic"]
+    normal = F.struct(
+        F.transform(col(answers), normalize).alias("answers"),
+        normalize(topic).alias("topic"),
+        normalize(target["source_entity"]).alias("entity"),
+    )
+
+    def compared(n: Column) -> Column:
+        right, wrong = correct_text(n["answers"], correct), wrong_texts(n["answers"], correct)
+        return (
+            F.when(~role_holds(right, target["source_role"], n["entity"]), "answer names the downstream entity")
+            .when(named & ~distractors_distinct(right, wrong), "answer and distractor overlap")
+            .when(named & ~names_target(right, n["topic"]), "answer does not name the target")
+            .when(named & ~language_holds(answers, n["answers"], topic, n["topic"]), "answer mixes languages")
+        )
+
     return (
         F.when(~refs_in_range(refs, size), "evidence reference out of range")
         .when(~reference_claim_holds(mode, claimed, supplied), "style reference not supplied")
-        .when(~role_holds(answer, target["source_role"], target["source_entity"]), "answer names the downstream entity")
-        .when(named & ~distractors_distinct(answer, wrong_texts(answers, correct)), "answer and distractor overlap")
-        .when(named & ~names_target(answer, target["topic"]), "answer does not name the target")
-        .when(named & ~language_holds(answers, target["topic"]), "answer mixes languages")
+        .otherwise(bind(normal, compared))
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, functions as F
 
 # The characters that count as white space, and those that end a line.
 WHITESPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-WHITESPACE_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE_CHARS)
+WHITESPACE_CLASS = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 Text = Column | str
@@ -66,7 +66,9 @@ def casefold(c: Text) -> Column:
         lowered,
         lambda text, pair: F.replace(text, F.substring_index(pair, "=", 1), F.substring_index(pair, "=", -1)),
     )
-    return F.when(lowered.rlike("[" + "".join(expansions) + "]"), expanded).otherwise(lowered)
+    # Looking for characters by ``translate`` is several times faster than by a regular expression.
+    special = F.translate(lowered, "".join(expansions), "") != lowered
+    return F.when(special, expanded).otherwise(lowered)
 
 
 def normalize(c: Text) -> Column:
