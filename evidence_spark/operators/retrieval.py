@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evidence_spark.functions.ngrams import explode_ngrams
+from evidence_spark.functions.ngrams import count_ngrams
 from evidence_spark.functions.text import is_blank
 from evidence_spark.operators.chunking import CHUNK_KEY, foreign_source_types
 from evidence_spark.sources.tables import (
@@ -64,7 +65,7 @@ def number_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def term_counts(numbered: DataFrame, n_min: int = 3, n_max: int = 5, tasks: int | None = None) -> DataFrame:
-    """Grams of every chunk with their counts.
+    """One row per chunk: its grams with their counts.
 
     The chunk texts are spread by ``chunk_no`` first.  That one exchange of short
     texts serves every later aggregation by chunk, so the far larger gram rows are
@@ -72,19 +73,20 @@ def term_counts(numbered: DataFrame, n_min: int = 3, n_max: int = 5, tasks: int
     would judge by the size of the texts.
     """
     spread = numbered.select("chunk_no", "text").repartition(task_count(numbered.sparkSession, tasks), "chunk_no")
-    grams = explode_ngrams(spread, "text", ["chunk_no"], n_min, n_max)
-    return grams.groupBy("chunk_no", "gram").agg(F.count("*").alias("tf"))
+    counts = count_ngrams(spread, "text", ["chunk_no"], n_min, n_max)
+    return counts.groupBy("chunk_no").agg(F.collect_list(F.struct("gram", "tf")).alias("terms"))
 
 
 def smoothed_idf(df: Column, total: Column) -> Column:
     return F.log((1 + total) / (1 + df)) + 1
 
 
-def vocabulary(chunks: DataFrame, counts: DataFrame) -> DataFrame:
+def vocabulary(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """Document frequency and smoothed idf per gram."""
     total = chunks.agg(F.count("*").alias("n_chunks"))
     return (
-        counts.groupBy("gram")
+        terms.select(F.explode("terms.gram").alias("gram"))
+        .groupBy("gram")
         .agg(F.count("*").alias("df"))
         .join(F.broadcast(total))  # a single row
         .select(
@@ -97,34 +99,69 @@ def vocabulary(chunks: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def weigh(counts: DataFrame, vocab: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """One row per chunk: gram numbers and tf-idf weights of unit length.
+def weigh(terms: DataFrame, vocab: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """One row per chunk: gram numbers and tf-idf weights of unit length."""
+    idf = vocab.select("gram", "gram_no", "idf")
+    if has_at_most(idf, broadcast_rows):
+        return _weigh_streamed(terms, idf)
+    return _weigh_joined(terms, vocab, broadcast_rows)
+
+
+def _weigh_streamed(terms: DataFrame, idf: DataFrame) -> DataFrame:
+    """With a vocabulary of a checked size, rows are weighed where they are: no shuffle, no sort."""
+    table = idf.toArrow().combine_chunks()
+    shared = terms.sparkSession.sparkContext.broadcast(
+        (table["gram"].combine_chunks(), table["gram_no"].to_numpy(), table["idf"].to_numpy())
+    )
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, numbers, idf_of = shared.value
+        for batch in batches:
+            grams, tf = batch.column(1), batch.column(2)
+            ends = grams.offsets.to_numpy()
+            places = pc.index_in(grams.flatten(), value_set=known).to_numpy()
+            weights = tf.flatten().to_numpy() * idf_of[places]
+            starts = ends[:-1] - ends[0]
+            lengths = np.sqrt(np.add.reduceat(weights * weights, starts)) if len(weights) else np.zeros(0)
+            weights = weights / np.repeat(lengths, np.diff(ends))
+            offsets = pa.array(ends - ends[0], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.ListArray.from_arrays(offsets, pa.array(numbers[places])),
+                    pa.ListArray.from_arrays(offsets, pa.array(weights)),
+                ],
+                names=["chunk_no", "grams", "weights"],
+            )
 
-    A small vocabulary is broadcast whole.  Of a large one only the common grams
-    are, whose number is bounded and which cover most rows; the others meet their
+    flat = terms.select("chunk_no", F.col("terms.gram").alias("grams"), F.col("terms.tf").alias("tf"))
+    return flat.where(F.size("grams") > 0).mapInArrow(scan, "chunk_no long, grams array<long>, weights array<double>")
+
+
+def _weigh_joined(terms: DataFrame, vocab: DataFrame, broadcast_rows: int) -> DataFrame:
+    """With a large vocabulary only the common grams are broadcast.
+
+    Their number is bounded and they cover most rows.  The other grams meet their
     idf in a shuffled join in which no key can be hot.
     """
-    idf = vocab.select("gram", "gram_no", "idf")
-    if has_at_most(idf, broadcast_rows):
-        met = counts.join(F.broadcast(idf), "gram")
-    else:
-        common = vocab.where("common").select(*idf.columns)
-        rare = vocab.where(~F.col("common")).select(*idf.columns)
-        tried = counts.join(broadcast_checked(common, broadcast_rows), "gram", "left")
-        met = tried.where(F.col("idf").isNotNull()).unionByName(
-            tried.where(F.col("idf").isNull()).select(*counts.columns).join(rare.hint("merge"), "gram")
-        )
+    counts = terms.select("chunk_no", F.explode("terms").alias("t")).select("chunk_no", "t.gram", "t.tf")
+    common = vocab.where("common").select("gram", "gram_no", "idf")
+    rare = vocab.where(~F.col("common")).select("gram", "gram_no", "idf")
+    tried = counts.join(broadcast_checked(common, broadcast_rows), "gram", "left")
+    met = tried.where(F.col("idf").isNotNull()).unionByName(
+        tried.where(F.col("idf").isNull()).select(*counts.columns).join(rare.hint("merge"), "gram")
+    )
     weight = F.col("tf") * F.col("idf")
     return (
         met.groupBy("chunk_no")
         .agg(
-            F.collect_list(F.struct("gram_no", weight.alias("x"))).alias("terms"),
+            F.collect_list(F.struct("gram_no", weight.alias("x"))).alias("found"),
             F.sqrt(F.sum(weight * weight)).alias("length"),
         )
         .select(
             "chunk_no",
-            F.col("terms.gram_no").alias("grams"),
-            F.transform("terms.x", lambda x: x / F.col("length")).alias("weights"),
+            F.col("found.gram_no").alias("grams"),
+            F.transform("found.x", lambda x: x / F.col("length")).alias("weights"),
         )
     )
 
@@ -142,13 +179,11 @@ def build_index(
     if foreign:
         raise ValueError(f"an index over {source_type} cannot hold chunks of {sorted(foreign)}")
     numbered = number_chunks(chunks)
-    counts = term_counts(numbered, n_min, n_max, tasks)
-    vocab = write_table(vocabulary(numbered, counts), "vocab")
-    if not has_at_most(vocab, 0):
-        return EvidenceIndex(
-            numbered, vocab, write_table(weigh(counts, vocab, broadcast_rows), "postings"), n_min, n_max
-        )
-    raise ValueError(f"nothing to index for {source_type}")
+    terms = write_table(term_counts(numbered, n_min, n_max, tasks), "terms")
+    vocab = write_table(vocabulary(numbered, terms), "vocab")
+    if has_at_most(vocab, 0):
+        raise ValueError(f"nothing to index for {source_type}")
+    return EvidenceIndex(numbered, vocab, write_table(weigh(terms, vocab, broadcast_rows), "postings"), n_min, n_max)
 
 
 def posting_rows(index: EvidenceIndex) -> DataFrame:
@@ -166,11 +201,7 @@ def blank_queries(queries: DataFrame) -> DataFrame:
 
 def query_vectors(index: EvidenceIndex, queries: DataFrame) -> DataFrame:
     """Unit-length query weights; grams the corpus lacks are dropped before scaling."""
-    counts = (
-        explode_ngrams(queries.where(~is_blank("query")), "query", ["query_id"], index.n_min, index.n_max)
-        .groupBy("query_id", "gram")
-        .agg(F.count("*").alias("tf"))
-    )
+    counts = count_ngrams(queries.where(~is_blank("query")), "query", ["query_id"], index.n_min, index.n_max)
     known = index.vocab.select("gram", "gram_no", "idf").join(broadcast_checked(counts), "gram")
     weight = F.col("tf") * F.col("idf")
     length = F.sqrt(F.sum(weight * weight).over(Window.partitionBy("query_id")))
