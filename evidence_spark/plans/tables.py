@@ -32,7 +32,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id",
         "text",
     )
-    return number_within(documents, ["source_type", "source_file"], "doc_id", "page").select(
+    return number_within(documents, ["source_type", "source_file"], "doc_id", "page", block=1_000).select(
         "source_type", "source_file", F.col("page").cast("int").alias("page"), "text"
     )
 
