@@ -74,11 +74,11 @@ def concept_forms(inventory: DataFrame, ascii_only: bool = False, script: str =
     )
 
 
-def category_coverage(questions: DataFrame, lexicon=None) -> DataFrame:
-    """Answers and relationship types asked for so far (category, ord, question, answer).
+def covered_values(questions: DataFrame, lexicon=None) -> DataFrame:
+    """Answers and relationship types asked for so far, one row per category and value.
 
-    The first occurrence of a value decides its place.  Values are reduced per
-    category before they are listed.
+    ``questions`` has category, ord, question and answer; the first occurrence of a
+    value gives its ``ord``.
     """
     rows = questions.select(
         "category",
@@ -86,19 +86,24 @@ def category_coverage(questions: DataFrame, lexicon=None) -> DataFrame:
         strip("answer").alias("answer"),
         classify(F.lower(F.concat_ws(" ", "question", "answer")), lexicon).alias("relationship"),
     )
-    values = rows.select(
-        "category",
-        "ord",
-        F.explode(
-            F.array(
-                F.struct(F.lit("concept").alias("kind"), F.nullif("answer", F.lit("")).alias("value")),
-                F.struct(
-                    F.lit("relationship").alias("kind"), F.nullif("relationship", F.lit(UNSPECIFIED)).alias("value")
-                ),
-            )
-        ).alias("v"),
-    ).where(F.col("v.value").isNotNull())
-    first = values.groupBy("category", "v.kind", "v.value").agg(F.min("ord").alias("ord"))
+    kinds = F.array(
+        F.struct(F.lit("concept").alias("kind"), F.nullif("answer", F.lit("")).alias("value")),
+        F.struct(F.lit("relationship").alias("kind"), F.nullif("relationship", F.lit(UNSPECIFIED)).alias("value")),
+    )
+    return (
+        rows.select("category", "ord", F.explode(kinds).alias("v"))
+        .where(F.col("v.value").isNotNull())
+        .groupBy("category", "v.kind", "v.value")
+        .agg(F.min("ord").alias("ord"))
+    )
+
+
+def category_coverage(questions: DataFrame, lexicon=None) -> DataFrame:
+    """The covered values of a category as two ordered lists, which is what a prompt shows.
+
+    For categories with very many distinct answers use ``covered_values``.
+    """
+    first = covered_values(questions, lexicon)
 
     def listed(kind: str) -> Column:
         chosen = F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", "value")))

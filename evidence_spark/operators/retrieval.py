@@ -81,20 +81,18 @@ def smoothed_idf(df: Column, total: Column) -> Column:
     return F.log((1 + total) / (1 + df)) + 1
 
 
-def vocabulary(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+def vocabulary(terms: DataFrame, n_chunks: int) -> DataFrame:
     """Document frequency and smoothed idf per gram."""
-    total = chunks.agg(F.count("*").alias("n_chunks"))
     return (
         terms.select(F.explode("terms.gram").alias("gram"))
         .groupBy("gram")
         .agg(F.count("*").alias("df"))
-        .join(F.broadcast(total))  # a single row
         .select(
             F.monotonically_increasing_id().alias("gram_no"),
             "gram",
             "df",
-            smoothed_idf(F.col("df"), F.col("n_chunks")).alias("idf"),
-            (F.col("df") * COMMON_SHARE >= F.col("n_chunks")).alias("common"),
+            smoothed_idf(F.col("df"), F.lit(n_chunks)).alias("idf"),
+            (F.col("df") * COMMON_SHARE >= n_chunks).alias("common"),
         )
     )
 
@@ -180,7 +178,7 @@ def build_index(
         raise ValueError(f"an index over {source_type} cannot hold chunks of {sorted(foreign)}")
     numbered = number_chunks(chunks)
     terms = write_table(term_counts(numbered, n_min, n_max, tasks), "terms")
-    vocab = write_table(vocabulary(numbered, terms), "vocab")
+    vocab = write_table(vocabulary(terms, numbered.count()), "vocab")
     if has_at_most(vocab, 0):
         raise ValueError(f"nothing to index for {source_type}")
     return EvidenceIndex(numbered, vocab, write_table(weigh(terms, vocab, broadcast_rows), "postings"), n_min, n_max)
@@ -309,5 +307,9 @@ def search(
 
 def index_statistics(index: EvidenceIndex) -> DataFrame:
     """Vocabulary size and number of indexed chunks."""
-    grams = index.vocab.agg(F.count("*").alias("feature_count"))
-    return index.chunks.agg(F.count("*").alias("indexed_chunks")).join(F.broadcast(grams))
+    one, none = F.lit(1), F.lit(0)
+    grams = index.vocab.select(one.alias("gram"), none.alias("chunk"))
+    chunks = index.chunks.select(none.alias("gram"), one.alias("chunk"))
+    return grams.unionByName(chunks).agg(
+        F.sum("chunk").alias("indexed_chunks"), F.sum("gram").alias("feature_count")
+    )

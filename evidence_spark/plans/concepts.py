@@ -274,6 +274,7 @@ QUERIES = {
     "anchored_contexts": _anchored,
     "concept_forms": _forms,
     "planned_targets": _planned,
+    "covered_values": lambda s, f: identity.covered_values(part_questions(s, f), PART_LEXICON),
     "category_coverage": lambda s, f: identity.category_coverage(part_questions(s, f), PART_LEXICON),
     "relationship_counts": lambda s, f: t.chunk_table(s, f)
     .groupBy("source_type", relations.classify(F.lower("text"), LEXICON).alias("relationship"))
@@ -324,6 +325,11 @@ ORACLES = {
       SELECT scope, concept AS topic, focus AS factual_focus, chunk_id AS own_chunks, true AS named_entity, source_role,
         {_ENTITY} AS source_entity, {_any('ahead', ENUMERATION)} AS enumeration_member, target_id
       FROM target_t WHERE target_id <= 25""",
+    "covered_values": f"""WITH q AS (SELECT p_brand AS category, p_partkey AS ord,
+        unnest(['concept', 'relationship']) AS kind,
+        unnest([p_type, nullif({_classify("lower(p_name || ' ' || p_type)", PART_LEXICON)}, 'UNSPECIFIED')]) AS value
+        FROM part)
+      SELECT category, kind, value, min(ord) AS ord FROM q WHERE value IS NOT NULL GROUP BY ALL""",
     "category_coverage": f"""WITH q AS (SELECT p_brand AS category, p_partkey AS ord, p_type AS answer,
         {_classify("lower(p_name || ' ' || p_type)", PART_LEXICON)} AS relationship FROM part),
       c AS (SELECT category, list(answer ORDER BY ord) AS tested_concepts
