@@ -193,9 +193,14 @@ _ENTITY = f"""CASE WHEN source_role AND list_position(bare, concept) > 1 THEN
     lambda x: {_named('x')})[1] END"""
 
 
-def _tested(spark: SparkSession, sf: str, evidence: DataFrame) -> DataFrame:
+def _inventory(spark: SparkSession, sf: str) -> DataFrame:
+    build = lambda: write_table(concepts.extract_concepts(t.corpus_evidence(spark, sf)), "inventory")
+    return t.once(spark, sf, "inventory", build)
+
+
+def _tested(spark: SparkSession, sf: str) -> DataFrame:
     """What the first page names counts as asked already."""
-    first = concepts.extract_concepts(evidence).where(F.col("rank") < 2_000_000)
+    first = _inventory(spark, sf).where(F.col("rank") < 2_000_000)
     return first.select("scope", F.col("concept").alias("answer"))
 
 
@@ -245,7 +250,7 @@ def _planned(spark: SparkSession, sf: str) -> DataFrame:
     return targets.plan_targets(
         _refined(spark, sf),
         evidence,
-        _tested(spark, sf, evidence),
+        _tested(spark, sf),
         count=25,
         enumeration_cues=ENUMERATION,
         source_cues=SOURCE,
@@ -267,7 +272,7 @@ def _feasibility(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "concept_inventory": lambda s, f: concepts.extract_concepts(t.corpus_evidence(s, f)),
+    "concept_inventory": _inventory,
     "refined_concepts": lambda s, f: _refined(s, f).select(
         "scope", "rank", "line_no", "chunk_id", "concept", F.transform("source_lines", lambda i: i + 1).alias("lines")
     ),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SETTING = "spark.checkpoint.dir"
 DEFAULT_BROADCAST_ROWS = 500_000
+_own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,9 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="evidence-spark-")
-    spark.conf.set(_SETTING, own)
-    return own
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="evidence-spark-")
+    return _own_folders[application]
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:

@@ -225,3 +225,26 @@ def test_broadcast_needs_a_measured_size(spark):
     big = tables.broadcast_checked(df, 9)._jdf.queryExecution().logical().toString()
     assert "merge" in big and "broadcast" not in big
     assert "broadcast" in tables.broadcast_checked(df, 10)._jdf.queryExecution().logical().toString()
+
+
+def test_shared_folder(spark, monkeypatch):
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, name, default=None):
+            return self.value or default
+
+    class Session:
+        def __init__(self, master, value):
+            self.conf = Conf(value)
+            context = type("Context", (), {})()
+            context.master, context.applicationId = master, "app"
+            context.getConf = lambda: Conf(None)
+            self.sparkContext = context
+
+    assert tables.shared_folder(Session("spark://host", "hdfs://shared")) == "hdfs://shared"
+    own = tables.shared_folder(Session("local[2]", None))
+    assert own == tables.shared_folder(Session("local[2]", None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_folder(Session("spark://host", None))
