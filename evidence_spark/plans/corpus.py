@@ -137,15 +137,15 @@ def _posting_sums(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "page_contract": lambda s, f: page_report(t.pages(s, f)),
     "evidence_chunks": lambda s, f: t.chunks(s, f),
-    "corpus_statistics": lambda s, f: chunking.corpus_statistics(t.chunks(s, f)).withColumn(
+    "corpus_statistics": lambda s, f: chunking.corpus_statistics(t.chunk_table(s, f)).withColumn(
         "avg_length", F.round("avg_length", 6)
     ),
-    "chunks_per_source": lambda s, f: chunking.chunks_per_source(t.chunks(s, f)),
+    "chunks_per_source": lambda s, f: chunking.chunks_per_source(t.chunk_table(s, f)),
     "repeated_chunk_texts": lambda s, f: chunking.duplicate_chunk_ids(
-        t.chunks(s, f).select(F.sha2("text", 256).alias("chunk_id"))
+        t.chunk_table(s, f).select(F.sha2("text", 256).alias("chunk_id"))
     ),
-    "foreign_source_types": lambda s, f: chunking.foreign_source_types(t.chunks(s, f), "PRIMARY"),
-    "chunks_of_one_page": lambda s, f: chunking.chunks_for_source(t.chunks(s, f), "src3.txt", 2),
+    "foreign_source_types": lambda s, f: chunking.foreign_source_types(t.chunk_table(s, f), "PRIMARY"),
+    "chunks_of_one_page": lambda s, f: chunking.chunks_for_source(t.chunk_table(s, f), "src3.txt", 2),
     "gram_vocabulary": lambda s, f: t.index(s, f).vocab.select("gram", "df", F.round("idf", 6).alias("idf")),
     "index_statistics": lambda s, f: retrieval.index_statistics(t.index(s, f)),
     "posting_weights": _posting_sums,

@@ -47,7 +47,7 @@ def index(spark: SparkSession, folder: str, source_type: str = "PRIMARY") -> Evi
         spark,
         folder,
         f"index {source_type}",
-        lambda: build_index(chunks(spark, folder).where(F.col("source_type") == source_type), source_type),
+        lambda: build_index(chunk_table(spark, folder).where(F.col("source_type") == source_type), source_type),
     )
 
 
