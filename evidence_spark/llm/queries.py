@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidence_spark.llm import exact_dedup, mixing, packing, sharding, simhash
+from evidence_spark.llm import exact_dedup, language, mixing, packing, personal_data, sharding, simhash
 from evidence_spark.llm.common import documents
 
 #: The tokenizer file, the same vocabulary as ranks, and the pattern that splits texts into words.
@@ -16,6 +16,17 @@ VOCABULARY = (
 )
 
 
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.digest(personal_data.find(documents(spark, folder)))
+
+
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = language.train(docs.where(~language.is_held_out()))
+    keep = [F.col("doc_id").cast("long").alias("doc_id"), language.is_held_out().alias("held_out")]
+    return language.label(docs, model, keep=keep)
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.group_copies(documents(spark, folder))
 
@@ -37,6 +48,8 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_personal_data": op2_personal_data,
+    "op3_language": op3_language,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_hilbert_sharding": op7_hilbert_sharding,
