@@ -260,3 +260,38 @@ def taken(mixed: Mix) -> DataFrame:
         .join(F.broadcast(known), "src")
         .select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
     )
+
+
+def mixed_documents(docs: DataFrame, mixed: Mix, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of ``docs`` with the text that the mix takes, one row per document and pass.
+
+    Where a pass takes every word the text is left as it is; otherwise the taken runs of words follow one another, joined by
+    a space.  A document that no slot shows is not in the mix.  ``doc_id`` must tell rows apart.
+    """
+    runs = (
+        mixed.pieces()
+        .groupBy("src", "start", "epoch")
+        .agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("_runs"))  # at most its blocks
+        .join(mixed.docs.where("size > 0"), ["src", "start"])
+        .select(F.col("doc_id").alias("_doc"), "_runs", (F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["to_word"] - r["from_word"]) == F.col("size")).alias("_whole"))
+    )
+    shown = docs.join(runs, docs[doc_id].cast("long") == runs["_doc"]).drop("_doc")
+    kept = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            whole = batch.column(batch.schema.get_field_index("_whole")).to_pylist()
+            runs_of = batch.column(batch.schema.get_field_index("_runs"))
+            out = []
+            for i, (words, all_of_it) in enumerate(zip(texts, whole, strict=True)):
+                if not all_of_it:
+                    raw = words.encode()
+                    starts, ends, _ = word_bounds(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                    parts = [raw[starts[r["from_word"]] : ends[r["to_word"] - 1]] for r in runs_of[i].as_py()]
+                    words = b" ".join(parts).decode()
+                out.append(words)
+            columns = [batch.column(batch.schema.get_field_index(c)) if c != text else pa.array(out, pa.string()) for c in kept]
+            yield pa.RecordBatch.from_arrays(columns, names=kept)
+
+    return shown.mapInArrow(cut, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidence_spark.llm import exact_dedup, language, mixing, packing, personal_data, sharding, simhash
+from evidence_spark.llm import exact_dedup, language, mixing, packing, personal_data, repeats, sharding, simhash
 from evidence_spark.llm.common import documents
 
 #: The tokenizer file, the same vocabulary as ranks, and the pattern that splits texts into words.
@@ -16,6 +16,10 @@ VOCABULARY = (
 )
 
 
+def op1_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, folder)).drop("kept")
+
+
 def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.digest(personal_data.find(documents(spark, folder)))
 
@@ -48,6 +52,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op2_personal_data": op2_personal_data,
     "op3_language": op3_language,
     "op4_exact_dedup": op4_exact_dedup,
