@@ -172,7 +172,7 @@ class Mix:
         first = F.greatest(F.col("start"), F.col("block") * b)
         last = F.least(F.col("start") + F.col("size"), F.col("block") * b + F.col("words"))
         return (
-            cut.join(taken, ["src", "block"])
+            cut.join(taken.hint("merge"), ["src", "block"])  # the slots' size is not known to the planner
             .select(
                 "src", "start", "epoch", (first - F.col("start")).alias("from_word"), (last - F.col("start")).alias("to_word"), "n"
             )
@@ -256,7 +256,7 @@ def taken(mixed: Mix) -> DataFrame:
     known = spark.createDataFrame([(i, s.size, s.target) for i, s in enumerate(mixed.sources)], "src int, source_size long, target double")
     docs = mixed.docs.withColumn("key", F.when(F.col("size") > 0, F.col("start")))
     return (
-        docs.join(gives.withColumnRenamed("start", "key"), ["src", "key"], "left")
+        docs.join(gives.withColumnRenamed("start", "key").hint("merge"), ["src", "key"], "left")
         .join(F.broadcast(known), "src")
         .select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
     )
