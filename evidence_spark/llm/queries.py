@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidence_spark.llm import exact_dedup, language, mixing, packing, personal_data, repeats, sharding, simhash
+from evidence_spark.llm import exact_dedup, language, lines, mixing, packing, personal_data, repeats, sharding, simhash, vectors
 from evidence_spark.llm.common import documents
 
 #: The tokenizer file, the same vocabulary as ranks, and the pattern that splits texts into words.
@@ -35,6 +35,10 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.group_copies(documents(spark, folder))
 
 
+def op5_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), VOCABULARY)
 
@@ -43,6 +47,10 @@ def op7_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(documents(spark, folder))
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.remove_similar_lines(documents(spark, folder)).drop("kept")
+
+
 def op9_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(mixing.mix(documents(spark, folder)))
 
@@ -56,8 +64,10 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op3_language": op3_language,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_multi_index": op5_multi_index,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_hilbert_sharding": op7_hilbert_sharding,
+    "op8_line_dedup": op8_line_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_simhash": op10_simhash,
 }
