@@ -25,7 +25,7 @@ LONGEST_GRAM = 4
 EPOCHS = 5
 #: Words per segment of the forward-backward pass.
 SEGMENT = 32
-_RUN_BYTES = 3 << 20
+_RUN_BYTES = 3 << 18
 _BASE = np.uint64(0xFF51AFD7ED558CCD)
 _BYTE = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
 _GRAM, _PREFIX, _SUFFIX = 1, 2, 3

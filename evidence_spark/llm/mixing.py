@@ -146,7 +146,7 @@ def shard_counts(totals: np.ndarray, slots: int, shard: int, seed: int) -> tuple
 
 def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text", 1 << 20):
             counts = word_bounds(*texts_of(part.column(2)))[2]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts)], names=["doc_id", "source", "size"])
 

@@ -18,8 +18,8 @@ MAX_DISTANCE = 2
 #: Fingerprints of its own that a shard may hold before it is split.
 SHARD_SIZE = 8192
 #: Texts are hashed in runs of about so many bytes, and bits summed over so many shingles.
-RUN_BYTES = 4 << 20
-RUN_SHINGLES = 1 << 16
+RUN_BYTES = 1 << 20
+RUN_SHINGLES = 1 << 15
 _LEAF = 768
 
 
