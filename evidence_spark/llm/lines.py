@@ -81,6 +81,8 @@ def _scanner(sketch: np.ndarray, buckets: int, similarity: Fraction):
                 name = np.add.reduceat(_mixed(token ^ np.uint64(0x5851F42D4C957F2D)), heads)
                 name = (_mixed(name) & ~np.uint64(0xFFFF)) | np.minimum(size, 0xFFFF).astype(np.uint64)
                 lines = line[heads]
+                # one bit per token, odd ones stay: two lines differ in at least as many tokens as bits
+                bits = np.bitwise_xor.reduceat(np.uint64(1) << (_mixed(token + np.uint64(11)) >> np.uint64(58)), heads)
                 _, once = np.unique(name, return_index=True)  # copies inside the run give no prefix again
                 once = once[size[once] >= 4]  # shorter sets are similar only when equal
                 n = size[once]
@@ -94,6 +96,7 @@ def _scanner(sketch: np.ndarray, buckets: int, similarity: Fraction):
                     {
                         "h": (h, pa.int64()), "c": (name[which].view(np.int64), pa.int64()),
                         "doc": (ids[text[lines[which]]], pa.int64()), "start": (number[lines[which]].astype(np.int32), pa.int32()),
+                        "bits": (bits[which].view(np.int64), pa.int64()),
                     },
                 )
 
@@ -101,15 +104,16 @@ def _scanner(sketch: np.ndarray, buckets: int, similarity: Fraction):
 
 
 def _settler(similarity: Fraction):
-    """Equal lines: all but the first go.  Tokens that different lines of matching lengths share: those lines are wanted."""
+    """Equal lines: all but the first go.  Lines that share a prefix token are wanted if another has a matching length and
+    its token bits do not rule it out (the bits never rule out a similar pair)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(_lists(b, x) for x in ("h", "c", "doc", "start")) for b in batches if len(b)]
+        held = [tuple(_lists(b, x) for x in ("h", "c", "doc", "start", "bits")) for b in batches if len(b)]
         if not held:
             return
-        h, c, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, c, doc, start, bits = (np.concatenate(x) for x in zip(*held, strict=True))
         size = (c & 0xFFFF).astype(np.int64)
         order = np.lexsort((start, doc, c, size, h))
-        h, c, doc, start, size = h[order], c[order], doc[order], start[order], size[order]
+        h, c, doc, start, size, bits = h[order], c[order], doc[order], start[order], size[order], bits[order].view(np.uint64)
         new_h = np.concatenate([[True], h[1:] != h[:-1]])
         new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
         same = np.concatenate([[False], (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])])
@@ -120,16 +124,27 @@ def _settler(similarity: Fraction):
             names=[f.split()[0] for f in _MARKED.split(", ")],
         )
         lead = np.flatnonzero(new_c & (h != c))
-        h, doc, start, size = h[lead], doc[lead], start[lead], size[lead]
-        if not len(h):
-            return
-        near = (h[1:] == h[:-1]) & (size[:-1] * similarity.denominator >= size[1:] * similarity.numerator)
-        wanted = np.concatenate([near, [False]]) | np.concatenate([[False], near])
+        h, doc, start, size, bits = h[lead], doc[lead], start[lead], size[lead], bits[lead]
+        wanted = np.zeros(len(h), bool)
+        one, step = np.arange(len(h)), 0
+        top, low = similarity.numerator, similarity.denominator
+        while len(one):
+            # each line with the one ``step`` places on, as long as both have the token; sizes ascend
+            step += 1
+            one = one[one + step < len(h)]
+            two = one + step
+            meets = (h[one] == h[two]) & (size[one] * low >= size[two] * top)
+            one, two = one[meets], two[meets]
+            apart = (size[one] + size[two]) * (low - top) // (low + top)
+            near = np.bitwise_count(bits[one] ^ bits[two]) <= apart
+            wanted[one[near]] = True
+            wanted[two[near]] = True
         yield _marked(doc[wanted], start[wanted], size[wanted].astype(np.int32), h[wanted], np.zeros(int(wanted.sum()), bool))
 
     return run
 
 
+_MET = _PACKED + ", bits array<long>"
 _SETS = "bucket int, key long, doc long, start int, tokens binary"
 
 
@@ -254,7 +269,7 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Lines without words stay.  Null is the empty text, one line.  Rows that repeat doc_id and text count as one document.
 
     Words are ordered by a frequency sketch of fixed size, so any order is the same in every task; equal sets
-    collapse first; a line's prefix tokens meet the other lines', and only lines that meet send their sets.
+    collapse first; a line's prefix tokens meet the other lines', and only lines that length and token bits leave over send their sets.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
@@ -264,7 +279,7 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     for row in counted:
         sketch[row["slot"]] = row["n"]
     sketch = np.argsort(np.argsort(sketch, kind="stable"), kind="stable").astype(np.uint16)
-    met = narrow.mapInArrow(_scanner(sketch, buckets, similarity), _PACKED).repartitionById(buckets, F.col("bucket"))
+    met = narrow.mapInArrow(_scanner(sketch, buckets, similarity), _MET).repartitionById(buckets, F.col("bucket"))
     settled = write_table(met.mapInArrow(_settler(similarity), _MARKED), "lines")
     sets = _with_documents(narrow, settled.where("h is not null"), _fetcher(sketch, buckets), _SETS, buckets)
     similar = sets.repartitionById(buckets, F.col("bucket")).mapInArrow(_verifier(similarity), _MARKED)
