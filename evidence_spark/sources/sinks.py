@@ -19,7 +19,20 @@ def write_question_set(questions: DataFrame, path: str, force: bool = False) ->
 
 
 def write_bundle(questions: DataFrame, audit: DataFrame, folder: str, force: bool = False) -> None:
-    """The audit is always written, the question set only if there are questions."""
+    """The audit is always written, the question set only if there are questions.
+
+    Both targets are looked at before anything is written; with ``force`` an old question set never stays beside a new audit.
+    """
+    stale = _exists(questions, f"{folder}/questions")
+    if not force and (stale or _exists(questions, f"{folder}/audit")):
+        raise FileExistsError(f"{folder}: an audit or a question set already exists")
+    some = not questions.isEmpty()
     write_json(audit, f"{folder}/audit", force)
-    if not questions.isEmpty():
+    if some or stale:
         write_question_set(questions, f"{folder}/questions", force)
+
+
+def _exists(df: DataFrame, path: str) -> bool:
+    context = df.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)

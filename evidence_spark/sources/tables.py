@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SETTING = "spark.checkpoint.dir"
 DEFAULT_BROADCAST_ROWS = 500_000
-_own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only for local runs."""
+    """The session's checkpoint folder; where none is set, a folder inside the warehouse, which executors share too."""
     configured = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
-    application = spark.sparkContext.applicationId
-    if application not in _own_folders:
-        _own_folders[application] = tempfile.mkdtemp(prefix="evidence-spark-")
-    return _own_folders[application]
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as parquet and read it back."""
+    """Cut the lineage: write ``df`` as parquet and read it back.  The tables of a run go when its session ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    run = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    path = f"{run}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
