@@ -11,9 +11,13 @@ DEFAULT_BROADCAST_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is set, a folder inside the warehouse, which executors share too."""
+    """The session's checkpoint folder; a local session without one uses a folder inside the warehouse."""
     configured = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
-    return configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
