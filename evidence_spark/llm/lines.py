@@ -88,15 +88,20 @@ def _scanner(sketch: np.ndarray, buckets: int, similarity: Fraction):
                 n = size[once]
                 prefix = n - -(-n * similarity.numerator // similarity.denominator) + 1
                 owner = np.repeat(once, prefix)
-                at = heads[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(prefix) - prefix, prefix))
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+                at = heads[owner] + place
                 h = np.concatenate([name, token[at]]).view(np.int64)
                 which = np.concatenate([np.arange(len(name)), owner])
+                none = np.zeros(len(name), np.int64)
+                rest = np.concatenate([none, size[owner] - 1 - place]).astype(np.int32)
+                before = np.where(place > 0, token[np.maximum(at, 1) - 1], name[owner])  # no two lines share their names
+                before = np.concatenate([none, before.view(np.int64)])
                 yield _pack(
                     _bucket(_mixed(h.view(np.uint64)).view(np.int64), buckets), buckets,
                     {
                         "h": (h, pa.int64()), "c": (name[which].view(np.int64), pa.int64()),
                         "doc": (ids[text[lines[which]]], pa.int64()), "start": (number[lines[which]].astype(np.int32), pa.int32()),
-                        "bits": (bits[which].view(np.int64), pa.int64()),
+                        "bits": (bits[which].view(np.int64), pa.int64()), "rest": (rest, pa.int32()), "before": (before, pa.int64()),
                     },
                 )
 
@@ -104,13 +109,14 @@ def _scanner(sketch: np.ndarray, buckets: int, similarity: Fraction):
 
 
 def _settler(similarity: Fraction):
-    """Equal lines: all but the first go.  Lines that share a prefix token are wanted if another has a matching length and
-    its token bits do not rule it out (the bits never rule out a similar pair)."""
+    """Equal lines: all but the first go.  Two lines are wanted at the first prefix token that they share, if their
+    lengths, the tokens behind it and their token bits do not rule the pair out (which they never do to a similar one).
+    A pair that shares the token just before as well meets there, so its sets are not sent again here."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(_lists(b, x) for x in ("h", "c", "doc", "start", "bits")) for b in batches if len(b)]
+        held = [tuple(_lists(b, x) for x in _ENTRY) for b in batches if len(b)]
         if not held:
             return
-        h, c, doc, start, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, c, doc, start, bits, rest, before = (np.concatenate(x) for x in zip(*held, strict=True))
         size = (c & 0xFFFF).astype(np.int64)
         order = np.lexsort((start, doc, c, size, h))
         h, c, doc, start, size, bits = h[order], c[order], doc[order], start[order], size[order], bits[order].view(np.uint64)
@@ -125,6 +131,7 @@ def _settler(similarity: Fraction):
         )
         lead = np.flatnonzero(new_c & (h != c))
         h, doc, start, size, bits = h[lead], doc[lead], start[lead], size[lead], bits[lead]
+        rest, before = rest[order][lead].astype(np.int64), before[order][lead]
         wanted = np.zeros(len(h), bool)
         one, step = np.arange(len(h)), 0
         top, low = similarity.numerator, similarity.denominator
@@ -137,6 +144,8 @@ def _settler(similarity: Fraction):
             one, two = one[meets], two[meets]
             apart = (size[one] + size[two]) * (low - top) // (low + top)
             near = np.bitwise_count(bits[one] ^ bits[two]) <= apart
+            near &= (1 + np.minimum(rest[one], rest[two])) * (low + top) >= (size[one] + size[two]) * top
+            near &= before[one] != before[two]
             wanted[one[near]] = True
             wanted[two[near]] = True
         yield _marked(doc[wanted], start[wanted], size[wanted].astype(np.int32), h[wanted], np.zeros(int(wanted.sum()), bool))
@@ -144,7 +153,8 @@ def _settler(similarity: Fraction):
     return run
 
 
-_MET = _PACKED + ", bits array<long>"
+_MET = _PACKED + ", bits array<long>, rest array<int>, before array<long>"
+_ENTRY = ("h", "c", "doc", "start", "bits", "rest", "before")
 _SETS = "bucket int, key long, doc long, start int, tokens binary"
 
 
@@ -190,9 +200,9 @@ def later_matches(key: int, sets: list[np.ndarray], similarity: Fraction) -> lis
                 if small * low < large * top:
                     continue
                 need = -(-(small + large) * top // (top + low))
-                # the prefixes are in one order: what lies behind the shared token bounds the overlap, if it is the first
-                first = not held[i].isdisjoint(sets[j][: n[j] - 1 - behind[j]].tolist())
-                if not first and 1 + min(behind[i], behind[j]) < need:
+                # the prefixes are in one order: what lies behind the shared token bounds the overlap, if it is the first;
+                # if it is not, the pair is compared at the first
+                if 1 + min(behind[i], behind[j]) < need:
                     continue
                 if len(held[i] & held[j]) >= need:
                     gone.append(j)
@@ -269,7 +279,8 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Lines without words stay.  Null is the empty text, one line.  Rows that repeat doc_id and text count as one document.
 
     Words are ordered by a frequency sketch of fixed size, so any order is the same in every task; equal sets
-    collapse first; a line's prefix tokens meet the other lines', and only lines that length and token bits leave over send their sets.
+    collapse first; a line's prefix tokens meet the other lines', and a line sends its set only where it and another
+    share their first token and length, position and token bits leave the pair over.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
