@@ -55,6 +55,26 @@ def _tokens(hashes: np.ndarray, line: np.ndarray, sketch: np.ndarray) -> tuple[n
     return token[new], line[new]
 
 
+def _counters(token: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
+    """Per line 16 counters of four bits: its tokens by hash, modulo 16."""
+    slot = (_mixed(token + np.uint64(11)) >> np.uint64(60)).astype(np.int64)
+    counts = np.bincount(line * 16 + slot, minlength=lines * 16).reshape(lines, 16).astype(np.uint64) & np.uint64(15)
+    return np.bitwise_or.reduce(counts << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
+
+
+_BYTES, _CARRY, _FOUR = np.uint64(0x0F0F0F0F0F0F0F0F), np.uint64(0x1010101010101010), np.uint64(4)
+_ROUND = np.minimum(np.arange(16), 16 - np.arange(16)).astype(np.int64)
+
+
+def _apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Tokens in which two lines differ at least, by their counters."""
+    total = np.zeros(len(one), np.int64)
+    for shift in (np.uint64(0), _FOUR):
+        gap = ((((one >> shift) & _BYTES) | _CARRY) - ((two >> shift) & _BYTES)) & _BYTES
+        total += _ROUND[gap.view(np.uint8).reshape(-1, 8)].sum(axis=1)
+    return total
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
@@ -81,8 +101,7 @@ def _scanner(sketch: np.ndarray, buckets: int, similarity: Fraction):
                 name = np.add.reduceat(_mixed(token ^ np.uint64(0x5851F42D4C957F2D)), heads)
                 name = (_mixed(name) & ~np.uint64(0xFFFF)) | np.minimum(size, 0xFFFF).astype(np.uint64)
                 lines = line[heads]
-                # one bit per token, odd ones stay: two lines differ in at least as many tokens as bits
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (_mixed(token + np.uint64(11)) >> np.uint64(58)), heads)
+                bits = _counters(token, np.repeat(np.arange(len(heads)), size), len(heads))
                 _, once = np.unique(name, return_index=True)  # copies inside the run give no prefix again
                 once = once[size[once] >= 4]  # shorter sets are similar only when equal
                 n = size[once]
@@ -110,7 +129,7 @@ def _scanner(sketch: np.ndarray, buckets: int, similarity: Fraction):
 
 def _settler(similarity: Fraction):
     """Equal lines: all but the first go.  Two lines are wanted at the first prefix token that they share, if their
-    lengths, the tokens behind it and their token bits do not rule the pair out (which they never do to a similar one).
+    lengths, the tokens behind it and their counters do not rule the pair out (which they never do to a similar one).
     A pair that shares the token just before as well meets there, so its sets are not sent again here."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [tuple(_lists(b, x) for x in _ENTRY) for b in batches if len(b)]
@@ -142,12 +161,12 @@ def _settler(similarity: Fraction):
             two = one + step
             meets = (h[one] == h[two]) & (size[one] * low >= size[two] * top)
             one, two = one[meets], two[meets]
-            apart = (size[one] + size[two]) * (low - top) // (low + top)
-            near = np.bitwise_count(bits[one] ^ bits[two]) <= apart
-            near &= (1 + np.minimum(rest[one], rest[two])) * (low + top) >= (size[one] + size[two]) * top
-            near &= before[one] != before[two]
-            wanted[one[near]] = True
-            wanted[two[near]] = True
+            both = size[one] + size[two]
+            near = ((1 + np.minimum(rest[one], rest[two])) * (low + top) >= both * top) & (before[one] != before[two])
+            i, j = one[near], two[near]
+            near = _apart(bits[i], bits[j]) <= both[near] * (low - top) // (low + top)
+            wanted[i[near]] = True
+            wanted[j[near]] = True
         yield _marked(doc[wanted], start[wanted], size[wanted].astype(np.int32), h[wanted], np.zeros(int(wanted.sum()), bool))
 
     return run
@@ -280,7 +299,7 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Words are ordered by a frequency sketch of fixed size, so any order is the same in every task; equal sets
     collapse first; a line's prefix tokens meet the other lines', and a line sends its set only where it and another
-    share their first token and length, position and token bits leave the pair over.
+    share their first token and length, position and token counters leave the pair over.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
