@@ -17,8 +17,8 @@ NON_ASCII = r"[^\x00-\x7f]"
 
 
 def refs_in_range(refs: Text, size: Column) -> Column:
-    """All references are 1..size; one bad reference spoils the response."""
-    return F.forall(col(refs), lambda r: r.between(F.lit(1), size))
+    """All references are 1..size; one bad or null reference spoils the response, and so do null references."""
+    return F.coalesce(F.forall(col(refs), lambda r: F.coalesce(r.between(F.lit(1), size), F.lit(False))), F.lit(False))
 
 
 def resolve_refs(refs: Text, chunk_ids: Text, distinct: bool = True) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evidence_spark.functions.text import normalize
 from evidence_spark.operators.numbering import number_within
+from evidence_spark.sources.tables import write_table
 
 MAX_ATTEMPTS = 3
 MAX_REPLACEMENTS = 2
@@ -52,21 +53,34 @@ def control_duplicates(
     """Exact duplicates in a log of produced candidates (category, position, try_no, question).
 
     A text counts once per category; a repetition, or a text among the ``existing``
-    questions, is a duplicate.  Returns the flagged candidates and one row per
-    position.  First occurrences are found by an aggregate and joined back, so a
-    text repeated very often does not gather in one task.
+    questions, is a duplicate.  A position ends with its first new text or with try
+    ``max_replacements + 1``: later tries are not made and leave their texts to later
+    positions.  Returns the flagged candidates that were made and one row per position.
+
+    First occurrences are found by an aggregate and joined back, so a text repeated
+    very often does not gather in one task.  Where a log goes on behind a new text,
+    those tries are taken away and the rest is judged again until none is left.
     """
-    texts = candidates.withColumn("norm", normalize("question"))
+    texts = candidates.where(F.col("try_no") <= max_replacements + 1).withColumn("norm", normalize("question"))
     place = F.struct("position", "try_no")
-    first = texts.groupBy("category", "norm").agg(F.min(place).alias("_first"))
+    known = None
     if existing is not None:
         known = existing.select("category", normalize("question").alias("norm")).distinct()
-        first = first.join(known, ["category", "norm"], "left_anti")
-    flagged = (
-        texts.join(first, ["category", "norm"], "left")
-        .withColumn("duplicate", ~F.coalesce(place == F.col("_first"), F.lit(False)))
-        .drop("_first", "norm")
-    )
+    while True:
+        first = texts.groupBy("category", "norm").agg(F.min(place).alias("_first"))
+        if known is not None:
+            first = first.join(known, ["category", "norm"], "left_anti")
+        judged = texts.join(first, ["category", "norm"], "left").withColumn(
+            "duplicate", ~F.coalesce(place == F.col("_first"), F.lit(False))
+        )
+        ends = judged.where(~F.col("duplicate")).groupBy("category", "position").agg(F.min("try_no").alias("_end"))
+        behind = texts.join(ends, ["category", "position"]).where(F.col("try_no") > F.col("_end"))
+        if behind.isEmpty():
+            break
+        made = texts.join(ends, ["category", "position"], "left")
+        made = made.where(F.col("_end").isNull() | (F.col("try_no") <= F.col("_end"))).select(*texts.columns)
+        texts = write_table(made, "tries")
+    flagged = judged.drop("_first", "norm")
     positions = (
         flagged.groupBy("category", "position")
         .agg(

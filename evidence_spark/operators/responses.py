@@ -43,7 +43,14 @@ grounded boolean,
 answer_assessments array<struct<answer_index:int, supported_as_correct:boolean, evidence_refs:array<int>, reason:string>>,
 evidence_text string, reason string, confidence double
 """
-VERDICT = "valid boolean, reason string"
+# The fields of each kind of plain verdict, all of them required.
+VERDICTS = {
+    "structure": "valid boolean, exactly_four_answers boolean, single_best_answer boolean, reason string",
+    "category": "valid boolean, requested_category string, assessed_category string, reason string",
+    "quality": "valid boolean, reason string",
+}
+#: Fields that may be null; every other field is absent or has its type.
+NULLABLE = ("historical_reference_id", "evidence_text", "assessed_category")
 TEXTBOOK = "status string, evidence_refs array<int>, reason string"
 
 
@@ -63,10 +70,27 @@ def no_other_fields(raw: Column, schema: str) -> Column:
     return F.coalesce(F.size(F.array_except(F.json_object_keys(raw), allowed)) == 0, F.lit(False))
 
 
-def verdict_of(raw: Column, schema: str, rules: dict[str, Column]) -> tuple[Column, Column]:
-    """(status, errors) of a response: MALFORMED, DOMAIN_INVALID or OK."""
+def _shape(raw: Column) -> Column:
+    """Fields and types of a JSON text at all levels; numbers are one type, nulls of nullable fields are left out."""
+    types = F.regexp_replace(F.schema_of_variant(F.try_parse_json(raw)), r"BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\)", "NUMBER")
+    names = "|".join(NULLABLE)
+    return F.regexp_replace(F.regexp_replace(types, rf"(?:, )?\b(?:{names}): VOID", ""), "OBJECT<, ", "OBJECT<")
+
+
+def as_typed(raw: Column, parsed: Column) -> Column:
+    """What was read says all that the response said: no nested field passed over, no value turned into another type.
+
+    A present field that cannot be read, null included, is thus a fault and not a missing field.
+    """
+    return F.coalesce(_shape(raw) == _shape(F.to_json(parsed)), F.lit(False))
+
+
+def verdict_of(raw: Column, schema: str, rules: dict[str, Column], parsed: Column | None = None) -> tuple[Column, Column]:
+    """(status, errors) of a response: MALFORMED, DOMAIN_INVALID or OK.  ``parsed`` is the response read by its schema."""
     malformed = F.try_parse_json(raw).isNull()
-    errors = failed_rules({"unknown field": no_other_fields(raw, schema), **rules})
+    known = no_other_fields(raw, schema)
+    typed = as_typed(raw, F.col("r") if parsed is None else parsed)
+    errors = failed_rules({"unknown field": known, "nested field unknown or of another type": ~known | typed, **rules})
     status = F.when(malformed, "MALFORMED").when(F.size(errors) > 0, "DOMAIN_INVALID").otherwise("OK")
     return status, F.when(malformed, F.array(F.lit("not JSON"))).otherwise(errors)
 
@@ -143,22 +167,39 @@ def ingest_questions(responses: DataFrame) -> DataFrame:
     )
 
 
+def _sound_targets(targets: str) -> Column:
+    return F.forall(
+        targets,
+        lambda t: filled(t["topic"])
+        & filled(t["factual_focus"])
+        & refs_in_range(F.coalesce(t["evidence_refs"], F.array().cast("array<int>")), F.size("chunk_ids")),
+    )
+
+
+def plan_statuses(responses: DataFrame) -> DataFrame:
+    """One row per planning response, discarded ones too: scope, category, count, status, errors, targets kept."""
+    rules = {"targets missing or unsound": F.coalesce(_sound_targets("r.targets"), F.lit(False))}
+    status, errors = verdict_of(F.col("raw"), PLAN, rules)
+    kept = F.when(F.col("status") == "OK", F.least(F.size("r.targets"), F.col("count"))).otherwise(0)
+    return (
+        responses.withColumn("r", parse(F.col("raw"), PLAN))
+        .select("scope", "category", "count", "r", status.alias("status"), errors.alias("errors"))
+        .withColumn("targets", kept)
+        .drop("r")
+    )
+
+
 def ingest_plans(responses: DataFrame) -> DataFrame:
     """Targets from planning responses (scope, category, count, chunk_ids, raw).
 
     One bad reference discards all targets of its response; then at most ``count``
-    are kept.
+    are kept.  ``plan_statuses`` tells of the responses that leave no target.
     """
-    r = parse(F.col("raw"), PLAN)["targets"]
-    sound = F.forall(
-        "targets",
-        lambda t: filled(t["topic"])
-        & filled(t["factual_focus"])
-        & refs_in_range(F.coalesce(t["evidence_refs"], F.array().cast("array<int>")), F.size("chunk_ids")),
-    )
+    sound = _sound_targets("targets")
     return (
-        responses.withColumn("targets", r)
-        .where(no_other_fields(F.col("raw"), PLAN) & F.coalesce(sound, F.lit(False)))
+        responses.withColumn("r", parse(F.col("raw"), PLAN))
+        .withColumn("targets", F.col("r.targets"))
+        .where(no_other_fields(F.col("raw"), PLAN) & as_typed(F.col("raw"), F.col("r")) & F.coalesce(sound, F.lit(False)))
         .select(
             "scope", "category", "chunk_ids", F.posexplode(F.slice("targets", F.lit(1), F.col("count"))).alias("i", "t")
         )
@@ -239,18 +280,25 @@ def ingest_textbook(responses: DataFrame) -> DataFrame:
 
 
 def ingest_verdicts(responses: DataFrame) -> DataFrame:
-    """Plain verdicts: valid and a reason."""
-    r = F.col("r")
-    status, errors = verdict_of(
-        F.col("raw"),
-        "valid boolean, reason string, exactly_four_answers boolean, single_best_answer boolean, "
-        "requested_category string, assessed_category string",
-        {"valid missing": r["valid"].isNotNull(), "reason must not be blank": filled(r["reason"])},
-    )
-    return (
-        responses.withColumn("r", parse(F.col("raw"), VERDICT))
-        .select(*[c for c in responses.columns if c != "raw"], r["valid"].alias("valid"), status.alias("status"), errors.alias("errors"))
-    )
+    """Plain verdicts (raw and keys) by the contract of their ``check``: structure, category or quality.
+
+    Without a column ``check`` all are quality verdicts.  ``valid`` is null unless the status is OK.
+    """
+    kind = F.col("check") if "check" in responses.columns else F.lit("quality")
+    raw = F.col("raw")
+    status = F.when(F.try_parse_json(raw).isNull(), "MALFORMED").otherwise("DOMAIN_INVALID")
+    errors, valid = F.array(F.lit("unknown check")), F.lit(None).cast("boolean")
+    for name, schema in VERDICTS.items():
+        r = parse(raw, schema)
+        flags = [f.split()[0] for f in schema.split(", ") if f.endswith("boolean")]
+        texts = [f.split()[0] for f in schema.split(", ") if f.endswith("string")]
+        rules = {f"{f} missing": r[f].isNotNull() for f in flags} | {f"{f} must not be blank": filled(r[f]) | (r[f].isNull() if f in NULLABLE else F.lit(False)) for f in texts}
+        its_status, its_errors = verdict_of(raw, schema, rules, r)
+        status = F.when(kind == name, its_status).otherwise(status)
+        errors = F.when(kind == name, its_errors).otherwise(errors)
+        valid = F.when((kind == name) & (its_status == "OK"), r["valid"]).otherwise(valid)
+    kept = [c for c in responses.columns if c != "raw"]
+    return responses.select(*kept, valid.alias("valid"), status.alias("status"), errors.alias("errors"))
 
 
 def assemble_attempts(

@@ -151,7 +151,15 @@ def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
     named = [("structure", "mcq_valid"), ("category", "category_valid"), ("quality", "quality_valid")]
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(c).alias("valid")) for k, c in named]))
     rows = _calls(spark, sf).select("position", "attempt_number", each.alias("v"))
-    raw = F.to_json(F.struct(F.col("v.valid").alias("valid"), F.lit("because").alias("reason")))
+    check, yes = F.col("v.check"), F.lit(True)
+    raw = F.to_json(
+        F.struct(
+            F.col("v.valid").alias("valid"),
+            *[F.when(check == "structure", yes).alias(c) for c in ("exactly_four_answers", "single_best_answer")],
+            *[F.when(check == "category", F.lit("c")).alias(c) for c in ("requested_category", "assessed_category")],
+            F.lit("because").alias("reason"),
+        )
+    )
     return responses.ingest_verdicts(rows.select("position", "attempt_number", "v.check", raw.alias("raw")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidence_spark.functions.rules import answer_number, check_rows, filled, four_answers, positive
@@ -27,7 +29,7 @@ def read_bank_csv(spark: SparkSession, path: str) -> DataFrame:
     header = spark.read.text(path).first()
     if header is None:
         raise ValueError("the question bank has no header")
-    check_header([name.strip().strip('"') for name in header[0].split(",")])
+    check_header([name.strip() for name in next(csv.reader([header[0]], skipinitialspace=True))])
     rows = spark.read.csv(path, header=True, multiLine=True).withColumn("_id", F.monotonically_increasing_id())
     numbered = number_within(rows.withColumn("_file", F.lit(path)), ["_file"], "_id", "row_no")
     return numbered.withColumn("row_no", F.col("row_no") + 1).drop("_id", "_file")

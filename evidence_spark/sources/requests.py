@@ -7,12 +7,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evidence_spark.functions.rules import check_rows, filled, positive
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object ``{"categories": {name: count}}`` per line; ``request_id`` from its place."""
-    raw = spark.read.schema("categories map<string,int>").json(path)
+def read_requests(spark: SparkSession, path: str, indented: bool = False) -> DataFrame:
+    """JSON objects ``{"categories": {name: count}}``, one per line or, if ``indented``, one per file.
+
+    ``request_id`` from its place.  What cannot be read stays as a row with its text in ``malformed``.
+    """
+    schema = "categories map<string,int>, malformed string"
+    raw = spark.read.schema(schema).json(path, multiLine=indented, columnNameOfCorruptRecord="malformed")
     return raw.withColumn("request_id", F.monotonically_increasing_id())
 
 
+def rejected_requests(requests: DataFrame) -> DataFrame:
+    """Requests that are malformed or name no category."""
+    error = F.when(F.col("malformed").isNotNull(), "not JSON of a request").otherwise("no categories")
+    lost = F.col("malformed").isNotNull() | F.coalesce(F.size("categories") <= 0, F.lit(True))
+    return requests.where(lost).select("request_id", error.alias("error"), "malformed")
+
+
 def request_rows(requests: DataFrame) -> DataFrame:
     """One row per requested category, ``ord`` keeping the order of the request."""
     return requests.select("request_id", F.posexplode(F.map_entries("categories")).alias("ord", "entry")).select(

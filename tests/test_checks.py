@@ -115,3 +115,44 @@ def test_malformed_and_invalid_verdicts(spark):
     df = spark.createDataFrame(list(enumerate(raw)), "i int, raw string")
     got = [r.status for r in responses.ingest_verdicts(df).orderBy("i").collect()]
     assert got == ["OK", "MALFORMED", "DOMAIN_INVALID", "DOMAIN_INVALID", "DOMAIN_INVALID"]
+
+
+def test_verdict_contract_by_check(spark):
+    rows = [
+        ("structure", '{"valid": true, "reason": "r"}', "DOMAIN_INVALID"),
+        ("structure", '{"valid": true, "exactly_four_answers": true, "single_best_answer": false, "reason": "r"}', "OK"),
+        ("structure", '{"valid": true, "exactly_four_answers": "true", "single_best_answer": true, "reason": "r"}', "DOMAIN_INVALID"),
+        ("category", '{"valid": false, "requested_category": "a", "assessed_category": "b", "reason": "r"}', "OK"),
+        ("category", '{"valid": true, "requested_category": "a", "assessed_category": " ", "reason": "r"}', "DOMAIN_INVALID"),
+        ("category", '{"valid": true, "requested_category": "a", "assessed_category": null, "reason": "r"}', "OK"),
+        ("other", '{"valid": true, "reason": "r"}', "DOMAIN_INVALID"),
+    ]
+    got = responses.ingest_verdicts(spark.createDataFrame(rows, "check string, raw string, want string")).collect()
+    assert [r.status for r in got] == [r.want for r in got]
+    assert [r.valid for r in got] == [None, True, None, False, None, True, None]
+
+
+def test_provenance_and_nested_fields_fail_closed(spark):
+    refs = ["[1, 2]", '["PRIMARY:a:0001"]', "[1, null]", "null", "[3]", "[]", '"1"', "[1.5]"]
+    raw = ['{"status": "NOT_FOUND", "evidence_refs": %s, "reason": "r"}' % x for x in refs]
+    raw += ['{"status": "NOT_FOUND", "reason": "r"}', '{"status": "NOT_FOUND", "reason": 5}']
+    df = spark.createDataFrame([(i, r, ["x", "y"], [1, 2]) for i, r in enumerate(raw)], "i int, raw string, chunk_ids array<string>, pages array<int>")
+    good = [r.i for r in responses.ingest_textbook(df).orderBy("i").collect() if r.status == "OK"]
+    assert good == [0, 5, 8]
+    part = '{"answer_index": %d, "supported_as_correct": %s, "evidence_refs": [1], "reason": "r"%s}'
+    whole = '{"grounded": true, "answer_assessments": [%s], "reason": "r", "confidence": 1, "evidence_text": null}'
+    many = [
+        whole % ", ".join(part % (i, "true" if i == 1 else "false", extra if i == 2 else "") for i in range(1, 5))
+        for extra in ("", ', "note": 1', ', "note": null')
+    ]
+    df = spark.createDataFrame([(i, r, ["x"], 1) for i, r in enumerate(many)], "i int, raw string, chunk_ids array<string>, correct_answer int")
+    got = responses.ingest_grounding(df).orderBy("i").collect()
+    assert [r.status for r in got] == ["OK", "DOMAIN_INVALID", "DOMAIN_INVALID"] and got[0].grounding_passed
+
+
+def test_plan_statuses_count_every_response(spark):
+    raw = ['{"targets": [{"topic": "t", "factual_focus": "f", "evidence_refs": [1]}]}', '{"targets": [{"topic": "t", "factual_focus": "f", "evidence_refs": [9]}]}', "{"]
+    df = spark.createDataFrame([(i, "c", 2, ["x"], r) for i, r in enumerate(raw)], "scope int, category string, count int, chunk_ids array<string>, raw string")
+    got = responses.plan_statuses(df).orderBy("scope").collect()
+    assert [(r.status, r.targets) for r in got] == [("OK", 1), ("DOMAIN_INVALID", 0), ("MALFORMED", 0)]
+    assert responses.ingest_plans(df).count() == 1

@@ -112,6 +112,41 @@ def test_duplicates_with_a_hot_text(spark):
     assert not positions.where("position = 2").first().exhausted
 
 
+def _in_turn(rows, known, budget):
+    """Positions one after the other, as a loop over the questions makes them."""
+    seen, out = set(known), {}
+    for position in sorted({r[0] for r in rows}):
+        out[position] = (False, 0)
+        for _, _, text in sorted(r for r in rows if r[0] == position and r[1] <= budget + 1):
+            if text not in seen:
+                seen.add(text)
+                out[position] = (True, out[position][1])
+                break
+            out[position] = (False, out[position][1] + 1)
+    return out
+
+
+def test_duplicate_budget_in_turn(spark):
+    rows = [(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (2, 2, "a"), (2, 3, "a"), (2, 4, "n"), (3, 1, "n"), (4, 1, "b"), (4, 2, "c"), (5, 1, "c"), (6, 1, "old"), (6, 2, "b")]
+    made = spark.createDataFrame([("k", *r) for r in rows], "category string, position long, try_no int, question string")
+    existing = spark.createDataFrame([("k", "old")], "category string, question string")
+    _, positions = acceptance.control_duplicates(made, existing, max_replacements=2)
+    got = {r.position: (r.accepted, r.duplicates) for r in positions.collect()}
+    assert got == _in_turn(rows, {"old"}, 2)
+    assert got[2] == (False, 3) and got[3] == (True, 0)
+
+
+def test_requests_keep_what_cannot_be_read(spark, tmp_path):
+    from evidence_spark.sources import requests
+
+    (tmp_path / "a.json").write_text('{"categories": {"x": 1}}\n{"categories": \n')
+    read = requests.read_requests(spark, str(tmp_path / "a.json"))
+    assert requests.request_rows(read).count() == 1
+    assert [r.error for r in requests.rejected_requests(read).collect()] == ["not JSON of a request"]
+    (tmp_path / "b.json").write_text('{\n  "categories": {\n    "x": 1,\n    "y": 2\n  }\n}\n')
+    assert requests.request_rows(requests.read_requests(spark, str(tmp_path / "b.json"), indented=True)).count() == 2
+
+
 def test_summary_and_failures(spark):
     rows = [("e", 1, True), ("e", 2, False), ("f", 1, True), ("g", 2, True)]
     got = acceptance.run_summary(spark.createDataFrame(rows, "exam_id string, position long, accepted boolean"))
