@@ -61,7 +61,7 @@ def extract_concepts(evidence: DataFrame) -> DataFrame:
     return first_of(found, ["scope", "norm"], ORDER).withColumn(
         "extraction_reason",
         F.format_string(
-            "standalone capitalized ASCII line (%d word%s) - structural list-item signal",
+            "a line of its own in title form, %d word%s long",
             count,
             F.when(count == 1, "").otherwise("s"),
         ),

@@ -70,9 +70,9 @@ inv_t AS (
   SELECT *, {strip_sql('''substring(text, greatest(instr(text, concept) - 121, 0) + 1,
       least(length(text), instr(text, concept) - 1 + length(concept) + 120) - greatest(instr(text, concept) - 121, 0))''')}
     AS factual_focus,
-    'standalone capitalized ASCII line (' || len(regexp_extract_all(concept, '[A-Za-z]+')) || ' word' ||
+    'a line of its own in title form, ' || len(regexp_extract_all(concept, '[A-Za-z]+')) || ' word' ||
       CASE WHEN len(regexp_extract_all(concept, '[A-Za-z]+')) = 1 THEN '' ELSE 's' END ||
-      ') - structural list-item signal' AS extraction_reason
+      ' long' AS extraction_reason
   FROM (SELECT *, {_norm('concept')} AS norm FROM found_t)
   QUALIFY row_number() OVER (PARTITION BY scope, norm ORDER BY rank, line_no) = 1)
 """
