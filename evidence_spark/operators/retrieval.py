@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidence_spark.functions.ngrams import count_ngrams
 from evidence_spark.functions.text import is_blank
+from evidence_spark.operators.categories import resolve_categories
 from evidence_spark.operators.chunking import CHUNK_KEY, foreign_source_types
 from evidence_spark.sources.tables import (
     DEFAULT_BROADCAST_ROWS,
@@ -33,9 +34,12 @@ SCORE_DIGITS = 9
 # A gram found in at least one of so many chunks counts as common.  Chunks are
 # bounded, so the common grams number at most COMMON_SHARE x grams per chunk.
 COMMON_SHARE = 100
-# Queries scored together in one task; bounds the memory a Python worker takes.
+# Queries scored together, and the bytes their dense block may take in a Python worker.
 QUERY_BLOCK = 256
-SCORED = "query_id long, chunk_no long, score double"
+BLOCK_BYTES = 64 << 20
+# Query-gram rows (24 bytes each) that are sent to the tasks in one pass over the postings.
+PASS_ROWS = 500_000
+SCORED = "query_no long, chunk_no long, score double"
 
 # The batch function below travels to the workers itself; they need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -173,7 +177,7 @@ def build_index(
     broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
 ) -> EvidenceIndex:
     """Write chunks, vocabulary and postings as tables that any number of searches can use."""
-    foreign = [row[0] for row in foreign_source_types(chunks, source_type).limit(10).collect()]
+    foreign = [row[0] for row in foreign_source_types(chunks, source_type).collect()]
     if foreign:
         raise ValueError(f"an index over {source_type} cannot hold chunks of {sorted(foreign)}")
     numbered = number_chunks(chunks)
@@ -197,43 +201,31 @@ def blank_queries(queries: DataFrame) -> DataFrame:
     return queries.where(F.col("query").isNull() | is_blank("query"))
 
 
-def query_vectors(index: EvidenceIndex, queries: DataFrame) -> DataFrame:
-    """Unit-length query weights; grams the corpus lacks are dropped before scaling."""
-    counts = count_ngrams(queries.where(~is_blank("query")), "query", ["query_id"], index.n_min, index.n_max)
+def query_vectors(index: EvidenceIndex, numbered: DataFrame) -> DataFrame:
+    """Unit-length weights of queries (query_no, query); grams the corpus lacks are dropped before scaling."""
+    counts = count_ngrams(numbered, "query", ["query_no"], index.n_min, index.n_max)
     known = index.vocab.select("gram", "gram_no", "idf").join(broadcast_checked(counts), "gram")
     weight = F.col("tf") * F.col("idf")
-    length = F.sqrt(F.sum(weight * weight).over(Window.partitionBy("query_id")))
-    return known.select("query_id", "gram_no", (weight / length).alias("qw"))
-
-
-def score_joined(index: EvidenceIndex, vectors: DataFrame, salts: int = 16) -> DataFrame:
-    """Cosines for a query side of any size: a join on (gram, salt).
-
-    The salt comes from the chunk and splits the common grams.
-    """
-    salted = vectors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = posting_rows(index).withColumn("salt", F.pmod(F.xxhash64("chunk_no"), F.lit(salts)).cast("int"))
-    return (
-        rows.join(salted.hint("merge"), ["gram_no", "salt"])
-        .groupBy("query_id", "chunk_no")
-        .agg(F.sum(F.col("qw") * F.col("w")).alias("raw"))
-        .where(F.col("raw") > ZERO_SCORE)
-        .select("query_id", "chunk_no", F.round(F.least(F.lit(1.0), F.col("raw")), SCORE_DIGITS).alias("score"))
-    )
-
-
-def _query_blocks(vectors: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, gram numbers, grams x queries matrix) per block of queries."""
-    rows = vectors.toPandas()
-    ids = np.sort(rows["query_id"].unique())
-    blocks = []
-    for at in range(0, len(ids), QUERY_BLOCK):
-        members = ids[at : at + QUERY_BLOCK]
-        part = rows[rows["query_id"].isin(members)]
-        grams = np.sort(part["gram_no"].unique())
-        matrix = np.zeros((len(grams), len(members)))
-        matrix[np.searchsorted(grams, part["gram_no"]), np.searchsorted(members, part["query_id"])] = part["qw"]
-        blocks.append((members, grams, matrix))
+    length = F.sqrt(F.sum(weight * weight).over(Window.partitionBy("query_no")))
+    return known.select("query_no", "gram_no", (weight / length).alias("qw"))
+
+
+def _query_blocks(vectors: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query numbers, gram numbers, and each weight's gram, query and value) per block of queries."""
+    table = vectors.toArrow()
+    query, gram, weight = (table[name].to_numpy() for name in ("query_no", "gram_no", "qw"))
+    order = np.argsort(query, kind="stable")
+    query, gram, weight = query[order], gram[order], weight[order]
+    numbers, heads = np.unique(query, return_index=True)
+    ends = np.append(heads[1:], len(query))
+    blocks, at = [], 0
+    while at < len(numbers):
+        wide = (ends[at : at + QUERY_BLOCK] - heads[at]) * 8 * np.arange(1, len(ends[at : at + QUERY_BLOCK]) + 1)
+        stop = at + max(1, int(np.searchsorted(wide, BLOCK_BYTES, side="right")))
+        inside = slice(heads[at], ends[stop - 1])
+        grams, row = np.unique(gram[inside], return_inverse=True)
+        blocks.append((numbers[at:stop], grams, row, np.searchsorted(numbers[at:stop], query[inside]), weight[inside]))
+        at = stop
     return blocks
 
 
@@ -243,24 +235,18 @@ def _best(scores: np.ndarray, numbers: np.ndarray, top_k: int) -> tuple[np.ndarr
     return np.take_along_axis(scores, order, 1), np.take_along_axis(numbers, order, 1)
 
 
-def score_streamed(index: EvidenceIndex, vectors: DataFrame, top_k: int) -> DataFrame:
-    """Best chunks per query and task, for a query side whose size has been checked.
-
-    The postings stream past the broadcast query matrix in Arrow batches; a task
-    keeps ``top_k`` rows per query and nothing else, and no score is shuffled
-    unless it could still make the final ranking.
-    """
-    shared = index.postings.sparkSession.sparkContext.broadcast(_query_blocks(vectors))
-
+def _scanner(shared, top_k: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = shared.value
-        kept = [(np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype="int64")) for ids, _, _ in blocks]
+        kept = [(np.zeros((len(b[0]), 0)), np.zeros((len(b[0]), 0), dtype="int64")) for b in blocks]
         for batch in batches:
             numbers = batch.column(0).to_numpy()
             grams, weights = batch.column(1), batch.column(2)
             ends = grams.offsets.to_numpy()
             terms, values = grams.values.to_numpy(), weights.values.to_numpy()
-            for b, (ids, known, matrix) in enumerate(blocks):
+            for b, (ids, known, row, column, weight) in enumerate(blocks):
+                matrix = np.zeros((len(known), len(ids)))
+                matrix[row, column] = weight
                 places = np.minimum(np.searchsorted(known, terms), len(known) - 1)
                 hit = known[places] == terms
                 scores = np.zeros((len(ids), len(numbers)))
@@ -274,34 +260,71 @@ def score_streamed(index: EvidenceIndex, vectors: DataFrame, top_k: int) -> Data
                     np.hstack([kept[b][1], np.broadcast_to(numbers, scores.shape)]),
                     top_k,
                 )
-        for (ids, _, _), (scores, numbers) in zip(blocks, kept):
+        for (ids, *_), (scores, numbers) in zip(blocks, kept):
             row, place = np.nonzero(scores)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[row]), pa.array(numbers[row, place]), pa.array(scores[row, place])],
-                names=["query_id", "chunk_no", "score"],
+                names=["query_no", "chunk_no", "score"],
             )
 
-    return index.postings.select("chunk_no", "grams", "weights").mapInArrow(scan, SCORED)
+    return scan
 
 
-def search(
-    index: EvidenceIndex, queries: DataFrame, top_k: int = 8, broadcast_rows: int = DEFAULT_BROADCAST_ROWS
-) -> DataFrame:
-    """Evidence for queries (query_id, query): rank, score and the chunk.
+def rank_pass(index: EvidenceIndex, vectors: DataFrame, top_k: int) -> DataFrame:
+    """Write the ``top_k`` chunks of the queries of one pass (query_no, chunk_no, score, rank).
 
-    Fewer than ``top_k`` rows come back if fewer chunks share a gram with the query.
+    The postings stream past the broadcast queries in Arrow batches; a task keeps ``top_k`` rows per
+    query and nothing else, and no score is shuffled unless it could still make the final ranking.
+    """
+    shared = index.postings.sparkSession.sparkContext.broadcast(_query_blocks(vectors))
+    scores = index.postings.select("chunk_no", "grams", "weights").mapInArrow(_scanner(shared, top_k), SCORED)
+    order = Window.partitionBy("query_no").orderBy(F.desc("score"), "chunk_no")
+    best = write_table(scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k), "ranked")
+    shared.destroy()
+    return best
+
+
+def search(index: EvidenceIndex, queries: DataFrame, top_k: int = 8, pass_rows: int = PASS_ROWS) -> DataFrame:
+    """Evidence for queries (query_id, query): rank, score and the chunk.  ``query_id`` is of any type.
+
+    Fewer than ``top_k`` rows come back if fewer chunks share a gram with the query; null and blank queries
+    have none.  Rows that repeat a ``query_id`` are ranked one by one.  The queries are dealt into passes of about
+    ``pass_rows`` query-gram rows, each one pass over the postings; more queries mean more passes of the same kind.
     """
     if top_k <= 0:
         raise ValueError(f"top_k must be positive, got {top_k}")
-    vectors = write_table(query_vectors(index, queries), "query_vectors")
-    if has_at_most(vectors, broadcast_rows):
-        scores = score_streamed(index, vectors, top_k)
-    else:
-        scores = score_joined(index, vectors)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_no")
-    best = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
-    return index.chunks.join(broadcast_checked(write_table(best, "ranked")), "chunk_no").select(
-        "query_id", "rank", "score", *CHUNK_KEY, "chunk_id", "text"
+    asked = queries.where(F.col("query").isNotNull() & ~is_blank("query"))
+    asked = write_table(asked.select(F.monotonically_increasing_id().alias("query_no"), "query_id", "query"), "queries")
+    vectors = write_table(query_vectors(index, asked), "query_vectors")
+    passes = max(1, -(-vectors.count() // pass_rows))
+    dealt = F.pmod(F.xxhash64("query_no"), F.lit(passes))
+    best = rank_pass(index, vectors.where(dealt == 0), top_k)
+    for number in range(1, passes):
+        best = best.unionByName(rank_pass(index, vectors.where(dealt == number), top_k))
+    return (
+        index.chunks.join(broadcast_checked(best), "chunk_no")
+        .join(broadcast_checked(asked.select("query_no", "query_id")), "query_no")
+        .select("query_id", "rank", "score", *CHUNK_KEY, "chunk_id", "text")
+    )
+
+
+def retrieve_for_categories(
+    index: EvidenceIndex, rows: DataFrame, canonical: DataFrame, aliases: DataFrame, top_k: int = 8
+) -> DataFrame:
+    """Evidence for every distinct ``category`` of ``rows``, asked for by the text of its canonical category.
+
+    (category, canonical, status, rank, score and the chunk).  Each canonical text is searched once.  Status is ``OK``,
+    ``NO_EVIDENCE`` for a category that meets no chunk and ``UNKNOWN`` for one that is neither canonical nor an
+    alias; the latter two have one row without a chunk.
+    """
+    resolved = write_table(resolve_categories(rows.select("category").distinct(), canonical, aliases), "resolved")
+    asked = resolved.where(F.col("canonical").isNotNull()).select(F.col("canonical").alias("query_id")).distinct()
+    found = search(index, asked.withColumn("query", F.col("query_id")), top_k)
+    status = (
+        F.when(F.col("canonical").isNull(), "UNKNOWN").when(F.col("rank").isNull(), "NO_EVIDENCE").otherwise("OK")
+    )
+    return resolved.join(found.withColumnRenamed("query_id", "canonical"), "canonical", "left").select(
+        "category", "canonical", status.alias("status"), "rank", "score", *CHUNK_KEY, "chunk_id", "text"
     )
 
 

@@ -134,6 +134,18 @@ def _posting_sums(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _category_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark text is a category; it is asked for by itself, by its alias and by a name nobody knows."""
+    items = t.read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("name"), "text")
+    canonical = items.select(F.col("text").alias("category")).distinct()
+    aliases = items.select(F.concat(F.lit("item "), "name").alias("alias"), F.col("text").alias("target"))
+    names = F.array("text", F.concat(F.lit("item "), "name"), F.concat(F.lit("lost "), "name"))
+    asked = items.select(F.explode(names).alias("category"))
+    return retrieval.retrieve_for_categories(t.index(spark, sf), asked, canonical, aliases).select(
+        "category", "canonical", "status", "rank", F.round("score", 6).alias("score"), "chunk_id"
+    )
+
+
 QUERIES = {
     "page_contract": lambda s, f: page_report(t.pages(s, f)),
     "evidence_chunks": lambda s, f: t.chunks(s, f),
@@ -152,6 +164,7 @@ QUERIES = {
     "top_evidence": lambda s, f: t.evidence(s, f).select(
         "query_id", "rank", F.round("score", 6).alias("score"), "chunk_id"
     ),
+    "category_evidence": _category_evidence,
     "literal_truth": lambda s, f: _truth(s, f).select("query_id", "chunk_id"),
     "ungrounded_queries": lambda s, f: retrieval_eval.ungrounded(_terms(s, f), _truth(s, f)),
     "retrieval_hits": _results,
@@ -193,6 +206,15 @@ ORACLES = {
       FROM weight_t GROUP BY chunk_id""",
     "top_evidence": f"""WITH RECURSIVE {SEARCH}
       SELECT query_id, rank, round(score, 6) AS score, chunk_id FROM evidence_t""",
+    "category_evidence": f"""WITH RECURSIVE {SEARCH},
+      name_t AS (
+        SELECT text AS category, text AS canonical, item_id FROM benchmark
+        UNION ALL SELECT 'item ' || item_id, text, item_id FROM benchmark
+        UNION ALL SELECT 'lost ' || item_id, NULL, NULL FROM benchmark)
+      SELECT DISTINCT category, canonical,
+        CASE WHEN canonical IS NULL THEN 'UNKNOWN' WHEN rank IS NULL THEN 'NO_EVIDENCE' ELSE 'OK' END AS status,
+        rank, round(score, 6) AS score, chunk_id
+      FROM name_t LEFT JOIN evidence_t ON query_id = item_id""",
     "literal_truth": f"WITH RECURSIVE {INDEX}, {TRUTH} SELECT query_id, chunk_id FROM truth_t",
     "ungrounded_queries": f"""WITH RECURSIVE {INDEX}, {TRUTH}
       SELECT query_id, term FROM term_t WHERE query_id NOT IN (SELECT query_id FROM truth_t)""",
