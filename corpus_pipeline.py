@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidence_spark.llm import exact_dedup, language, mixing, packing, simhash
-from evidence_spark.llm.common import documents
+from evidence_spark.llm.common import documents, with_row_key
 from evidence_spark.llm.queries import VOCABULARY
 from evidence_spark.sources.tables import write_table
 
@@ -20,21 +20,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*(F.col(f"_kept_{c}").alias(c) for c in docs.columns))
 
 
+def _chosen(rows: DataFrame, groups: DataFrame, best: Column, columns: list[str]) -> DataFrame:
+    """The best row of each group; rows are told apart by ``_row``, as a doc_id may be null or repeated."""
+    known = rows.select("_row", "doc_id").join(groups, "_row")
+    stays = known.groupBy("_group").agg(best.alias("best")).select(F.col("best._row").alias("_row"))
+    return rows.join(stays, "_row", "left_semi").select(*columns)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; repeated rows become one."""
-    stays = exact_dedup.group_copies(docs).where("kept").select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One row of each group of equal texts, that of the largest doc_id (none is smallest)."""
+    rows = with_row_key(docs)
+    groups = exact_dedup.group_copies(rows, "_row").select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("_group"))
+    return _chosen(rows, groups, F.max(F.struct(F.col("doc_id").cast("long").alias("id"), "_row")), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of linked fingerprints."""
-    stays = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of linked fingerprints, that of the smallest doc_id (none is largest)."""
+    rows = with_row_key(docs)
+    groups = simhash.near_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    number = F.col("doc_id").cast("long")
+    return _chosen(rows, groups, F.min(F.struct(number.isNull().alias("none"), number.alias("id"), "_row")), docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as the mix takes them: a row per pass over a document, with the words that it takes."""
-    mixed = mixing.mixed_documents(docs, mixing.mix(docs))
+    rows = with_row_key(docs)
+    mixed = mixing.mixed_documents(rows, mixing.mix(rows, row="_row"), "_row")
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return mixed.select(*docs.columns)

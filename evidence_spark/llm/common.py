@@ -20,6 +20,35 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def with_row_key(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df`` with a number of its own for every row, written, so that all uses see the same numbers."""
+    return write_table(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
+def with_document_key(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(key, text) for the rows (doc_id, text), and (key, doc_id) where the key is not the doc_id itself.
+
+    Rows that repeat doc_id and text share a key.  Keys follow doc_id, null last; texts that share a doc_id (or have none)
+    get keys of their own, in order of their checksum.  Only then are rows numbered: ids that tell texts apart are the keys.
+    """
+    hashed = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
+    if hashed.where("doc_id is null or low <> high").isEmpty():
+        return docs.select(F.col("doc_id").alias("key"), "text"), None
+    marked = docs.withColumn("_sha", F.sha2("text", 256))
+    keys = write_table(global_rank(marked.select("doc_id", "_sha").distinct(), ["doc_id", "_sha"], "key"), "keys")
+    named = keys.select(F.col("doc_id").alias("_id"), F.col("_sha").alias("_name"), "key")
+    same = marked["doc_id"].eqNullSafe(named["_id"]) & (marked["_sha"] == named["_name"])
+    return write_table(marked.join(named, same).select("key", "text"), "keyed"), keys.select("key", "doc_id")
+
+
+def with_ids(result: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """``result`` with its keys, in the column doc_id, turned back into ids."""
+    if keys is None:
+        return result
+    columns = result.columns
+    return result.withColumnRenamed("doc_id", "key").join(keys, "key").select(*columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from evidence_spark.llm.common import partitions
@@ -73,11 +74,12 @@ def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _resolver(limit: int):
+def _resolver(limit: int, level: int):
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One bucket: a content in the table gets its class at once; once the table is full, contents that
         are not in it are spilled, all their records alike, to the next level."""
-        table, names, digests = ContentTable(limit), [], []
+        table, digests = ContentTable(limit), []
+        first = (level << 56) | (TaskContext.get().partitionId() << 32)  # classes are named apart from ids, which may be null
         for batch in batches:
             out: list[tuple] = []
             for ids, hashed, content in zip(
@@ -88,9 +90,8 @@ def _resolver(limit: int):
                     out.append((ids, hashed, content, None, None))
                     continue
                 if new:
-                    names.append(ids[0])
                     digests.append(hashlib.sha256(content).hexdigest())
-                out.append((ids, hashed, None, names[number], digests[number]))
+                out.append((ids, hashed, None, first + number, digests[number]))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays(
@@ -112,7 +113,8 @@ def group_copies(
     anew by other hash digits, level by level, until nothing is spilled.
 
     Null is the empty text.  Texts are compared byte by byte.  The largest doc_id of a group stays; rows that
-    repeat both doc_id and text stay or go together.  An empty table gives an empty result.
+    repeat both doc_id and text stay or go together.  ``kept`` of a row without a doc_id is null, and ``keep_id`` too where
+    no row of the group has one.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     count = buckets or partitions(spark)
@@ -126,7 +128,7 @@ def group_copies(
         dealt = records.repartition(count, F.xxhash64("h", F.lit(level)))
         settled = write_table(
             dealt.mapInArrow(
-                _resolver(table_bytes), "ids array<long>, h long, content binary, class_id long, sha256 string"
+                _resolver(table_bytes, level), "ids array<long>, h long, content binary, class_id long, sha256 string"
             ),
             f"grace{level}",
         )

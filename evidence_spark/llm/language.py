@@ -282,7 +282,8 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str =
     """
     spark = docs.sparkSession
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).cast("string").alias("lang"), F.lower(F.col(text).cast("string")).alias("text"), F.col(doc_id).cast("long").alias("doc")
+        F.col(lang).cast("string").alias("lang"), F.lower(F.col(text).cast("string")).alias("text"),
+        F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text).cast("string"))).alias("doc"),
     )
     found = known.groupBy("lang").count().limit(MAX_LABELS + 1).collect()
     if len(found) > MAX_LABELS:
@@ -386,5 +387,5 @@ def label(docs: DataFrame, model: Model, text: str = "text", keep: list[Column]
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:
-    """Every third document, by checksum of its id, takes no part in learning."""
-    return F.crc32(F.encode(F.col(doc_id).cast("long").cast("string"), "UTF-8")) % 3 == 1
+    """Every third document, by checksum of its id, takes no part in learning; one without an id does."""
+    return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("long").cast("string"), "UTF-8")) % 3 == 1, F.lit(False))

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evidence_spark.llm.common import partitions, slices, texts_of, word_bounds
+from evidence_spark.llm.common import partitions, slices, texts_of, with_document_key, with_ids, word_bounds
 from evidence_spark.llm.repeats import _bucket, _Hashes, _lists, _marked, _MARKED, _mixed, _pack, _PACKED, _with_documents
 from evidence_spark.sources.tables import write_table
 
@@ -258,6 +258,9 @@ def _verifier(similarity: Fraction):
         key, doc, start = (table.column(i).to_numpy() for i in (1, 2, 3))
         tokens = table.column(4).combine_chunks()
         order = np.lexsort((start, doc, key))
+        k, d, s = key[order], doc[order], start[order]
+        # a repeated row sends its sets again; a line is not similar to itself
+        order = order[np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (s[1:] != s[:-1])])]
         heads = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
         gone = []
         for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
@@ -295,7 +298,8 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     A line (between line feeds) goes if an earlier one, of a smaller doc_id or before in its document, has a word set
     of Jaccard similarity ``similarity`` or more; lines are judged on the input.  Words end at space and 0x09-0x0D.
-    Lines without words stay.  Null is the empty text, one line.  Rows that repeat doc_id and text count as one document.
+    Lines without words stay.  Null is the empty text, one line.  Rows that repeat doc_id and text count as one document;
+    different texts of one doc_id are documents in order of their checksum, and rows without one come last.
 
     Words are ordered by a frequency sketch of fixed size, so any order is the same in every task; equal sets
     collapse first; a line's prefix tokens meet the other lines', and a line sends its set only where it and another
@@ -304,6 +308,7 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     buckets = partitions(spark)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    narrow, keys = with_document_key(narrow)
     counted = narrow.mapInArrow(_counter, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for row in counted:
@@ -314,4 +319,5 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     sets = _with_documents(narrow, settled.where("h is not null"), _fetcher(sketch, buckets), _SETS, buckets)
     similar = sets.repartitionById(buckets, F.col("bucket")).mapInArrow(_verifier(similarity), _MARKED)
     marks = settled.where("h is null").unionByName(similar)
-    return _with_documents(narrow, marks, _remover, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept binary", buckets)
+    shape = "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept binary"
+    return with_ids(_with_documents(narrow, marks, _remover, shape, buckets), keys)

@@ -147,13 +147,15 @@ def shard_counts(totals: np.ndarray, slots: int, shard: int, seed: int) -> tuple
 def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
-            counts = word_bounds(*texts_of(part.column(2)))[2]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts)], names=["doc_id", "source", "size"])
+            counts = word_bounds(*texts_of(part.column(part.schema.get_field_index("text"))))[2]
+            kept = [c for c in part.schema.names if c != "text"]
+            columns = [part.column(part.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=[*kept, "size"])
 
 
 @dataclass(frozen=True)
 class Mix:
-    """``docs``: (doc_id, source, src, size, start) per row; ``slots``: (shard, slot, src, epoch, block, words);
+    """``docs``: (doc_id, row if named, source, src, size, start) per row; ``slots``: (shard, slot, src, epoch, block, words);
     ``sources`` in order.  ``pieces()`` has the words of documents that the slots take."""
 
     docs: DataFrame
@@ -191,6 +193,7 @@ def mix(
     block_words: int = BLOCK_WORDS,
     shard_slots: int = SHARD_SLOTS,
     seed: int = 9,
+    row: str | None = None,
 ) -> Mix:
     """Mix the sources' words by weight.
 
@@ -200,13 +203,16 @@ def mix(
     target rounded to words.  No block is shown more often than ``most`` times.
 
     Null or blank texts have size 0 and nothing is taken from them; null is a source of its own, the last.  Rows that
-    share a doc_id are taken one behind the other.  Empty tables give empty results.
+    share a doc_id are taken one behind the other, those without one at the end; ``row`` names a column that tells rows
+    apart and orders them then.  Empty tables give empty results.
     """
     spark = docs.sparkSession
+    rows = [] if row is None else [F.col(row).cast("long").alias("row")]
     narrow = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text")
+        F.col(doc_id).cast("long").alias("doc_id"), *rows, F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text")
     )
-    sizes = write_table(narrow.mapInArrow(_word_counter, "doc_id long, source string, size long"), "sizes")
+    counted = f"doc_id long, {'row long, ' * len(rows)}source string, size long"
+    sizes = write_table(narrow.mapInArrow(_word_counter, counted), "sizes")
     found = sizes.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -217,7 +223,7 @@ def mix(
     ]
     order = spark.createDataFrame([(s.name, i) for i, s in enumerate(sources)], "_name string, src int")
     numbered = sizes.join(F.broadcast(order), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    placed = write_table(prefix_sums(numbered, "src", ["doc_id"], "size", "start"), "placed")
+    placed = write_table(prefix_sums(numbered, "src", ["doc_id", *["row"] * len(rows)], "size", "start"), "placed")
     ends = [_slots_of(s, block_words) for s in sources]
     totals = np.array([n for n, _ in ends], dtype=np.int64)
     shards = -(-int(totals.sum()) // shard_slots)
@@ -266,14 +272,16 @@ def mixed_documents(docs: DataFrame, mixed: Mix, doc_id: str = "doc_id", text: s
     """The columns of ``docs`` with the text that the mix takes, one row per document and pass.
 
     Where a pass takes every word the text is left as it is; otherwise the taken runs of words follow one another, joined by
-    a space.  A document that no slot shows is not in the mix.  ``doc_id`` must tell rows apart.
+    a space.  A document that no slot shows is not in the mix.  ``doc_id`` must tell rows apart, or be the column that was
+    the mix's ``row``.
     """
+    key = "row" if "row" in mixed.docs.columns else "doc_id"
     runs = (
         mixed.pieces()
         .groupBy("src", "start", "epoch")
         .agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("_runs"))  # at most its blocks
         .join(mixed.docs.where("size > 0"), ["src", "start"])
-        .select(F.col("doc_id").alias("_doc"), "_runs", (F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["to_word"] - r["from_word"]) == F.col("size")).alias("_whole"))
+        .select(F.col(key).alias("_doc"), "_runs", (F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["to_word"] - r["from_word"]) == F.col("size")).alias("_whole"))
     )
     shown = docs.join(runs, docs[doc_id].cast("long") == runs["_doc"]).drop("_doc")
     kept = docs.columns

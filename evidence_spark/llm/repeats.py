@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evidence_spark.llm.common import partitions, slices, texts_of
+from evidence_spark.llm.common import partitions, slices, texts_of, with_document_key, with_ids
 from evidence_spark.sources.tables import write_table
 
 WINDOW = 100
@@ -533,16 +533,17 @@ def remove_repeats(
 
     A byte goes if a string of ``window`` bytes over it also starts earlier, in a smaller doc_id or before in the same
     document; strings are judged on the input.  Null is the empty text.  Rows that repeat both doc_id and text count as one document
-    (none removes the other); different texts must not share a doc_id.  ``kept`` are the remaining bytes.
+    (none removes the other); different texts of one doc_id are documents in order of their checksum, and rows without one
+    come last.  ``kept`` are the remaining bytes.
     A hash with more than ``hot`` different segments has its windows dealt out by their own hashes.
     """
     buckets = partitions(docs.sparkSession)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    narrow, keys = with_document_key(narrow)
     found = narrow.mapInArrow(_scanner(window, gram, buckets), _PACKED).repartitionById(buckets, F.col("bucket"))
     settled = write_table(found.mapInArrow(_settler(hot), _MARKED), "segments")
     fetched = _with_documents(narrow, settled.where("h is not null"), _fetcher(window, buckets), _FETCHED, buckets)
     indexed = fetched.repartitionById(buckets, F.col("bucket")).mapInArrow(_indexer(window, index_bytes, hot), _MARKED)
     marks = settled.where("h is null").unionByName(indexed)
-    return _with_documents(
-        narrow, marks, _remover(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", buckets
-    )
+    shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return with_ids(_with_documents(narrow, marks, _remover(window), shape, buckets), keys)
