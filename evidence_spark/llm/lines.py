@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from evidence_spark.llm.common import partitions, slices, texts_of, with_document_key, with_ids, word_bounds
-from evidence_spark.llm.repeats import _bucket, _Hashes, _lists, _marked, _MARKED, _mixed, _pack, _PACKED, _with_documents
+from evidence_spark.llm.repeats import _bucket, _copies, _doc_bucket, _first_places, _Hashes, _lists, _marked, _MARKED, _mixed, _pack, _PACKED, _with_documents
 from evidence_spark.sources.tables import write_table
 
 SIMILARITY = Fraction(4, 5)
@@ -20,6 +20,8 @@ SKETCH_BITS = 16
 #: Lines of one token that are compared pair by pair in sets; more are compared as matrices.
 _FEW = 48
 _RUN_BYTES = 3 << 20
+#: In place of the tokens behind a prefix token: the line has an equal one before it in its run.
+_GONE = -1
 
 
 def _needed(n: int, similarity: Fraction) -> int:
@@ -102,24 +104,26 @@ def _scanner(sketch: np.ndarray, buckets: int, similarity: Fraction):
                 name = (_mixed(name) & ~np.uint64(0xFFFF)) | np.minimum(size, 0xFFFF).astype(np.uint64)
                 lines = line[heads]
                 bits = _counters(token, np.repeat(np.arange(len(heads)), size), len(heads))
-                _, once = np.unique(name, return_index=True)  # copies inside the run give no prefix again
-                once = once[size[once] >= 4]  # shorter sets are similar only when equal
+                doc, start = ids[text[lines]], number[lines].astype(np.int32)
+                first, later = _first_places(doc, start, name)  # the later ones go, whatever other runs hold
+                once = first[size[first] >= 4]  # shorter sets are similar only when equal
                 n = size[once]
                 prefix = n - -(-n * similarity.numerator // similarity.denominator) + 1
                 owner = np.repeat(once, prefix)
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
                 at = heads[owner] + place
-                h = np.concatenate([name, token[at]]).view(np.int64)
-                which = np.concatenate([np.arange(len(name)), owner])
-                none = np.zeros(len(name), np.int64)
-                rest = np.concatenate([none, size[owner] - 1 - place]).astype(np.int32)
+                h = np.concatenate([name[first], token[at], name[later]]).view(np.int64)
+                which = np.concatenate([first, owner, later])
+                none, gone = np.zeros(len(first), np.int64), np.full(len(later), _GONE, np.int64)
+                rest = np.concatenate([none, size[owner] - 1 - place, gone]).astype(np.int32)
                 before = np.where(place > 0, token[np.maximum(at, 1) - 1], name[owner])  # no two lines share their names
-                before = np.concatenate([none, before.view(np.int64)])
+                before = np.concatenate([none, before.view(np.int64), gone])
+                met = _bucket(_mixed(h.view(np.uint64)).view(np.int64), buckets)
                 yield _pack(
-                    _bucket(_mixed(h.view(np.uint64)).view(np.int64), buckets), buckets,
+                    np.where(rest == _GONE, _doc_bucket(doc[which], buckets), met), buckets,
                     {
                         "h": (h, pa.int64()), "c": (name[which].view(np.int64), pa.int64()),
-                        "doc": (ids[text[lines[which]]], pa.int64()), "start": (number[lines[which]].astype(np.int32), pa.int32()),
+                        "doc": (doc[which], pa.int64()), "start": (start[which], pa.int32()),
                         "bits": (bits[which].view(np.int64), pa.int64()), "rest": (rest, pa.int32()), "before": (before, pa.int64()),
                     },
                 )
@@ -132,8 +136,15 @@ def _settler(similarity: Fraction):
     lengths, the tokens behind it and their counters do not rule the pair out (which they never do to a similar one).
     A pair that shares the token just before as well meets there, so its sets are not sent again here."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(_lists(b, x) for x in _ENTRY) for b in batches if len(b)]
-        if not held:
+        held = []
+        for batch in batches:
+            if len(batch):
+                entry = tuple(_lists(batch, x) for x in _ENTRY)
+                gone = entry[5] == _GONE
+                if gone.any():
+                    yield _copies(entry[2][gone], entry[3][gone], np.zeros(int(gone.sum()), np.int32))
+                held.append(tuple(x[~gone] for x in entry))
+        if not sum(len(x[0]) for x in held):
             return
         h, c, doc, start, bits, rest, before = (np.concatenate(x) for x in zip(*held, strict=True))
         size = (c & 0xFFFF).astype(np.int64)
@@ -143,11 +154,7 @@ def _settler(similarity: Fraction):
         new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
         same = np.concatenate([[False], (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])])
         gone = ~new_c & (h == c) & ~same
-        zero = np.zeros(int(gone.sum()), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[gone]), pa.array(start[gone], pa.int32()), pa.array(zero, pa.int32()), pa.nulls(len(zero), pa.int64()), pa.array(zero.astype(bool))],
-            names=[f.split()[0] for f in _MARKED.split(", ")],
-        )
+        yield _copies(doc[gone], start[gone], np.zeros(int(gone.sum()), np.int32))
         lead = np.flatnonzero(new_c & (h != c))
         h, doc, start, size, bits = h[lead], doc[lead], start[lead], size[lead], bits[lead]
         rest, before = rest[order][lead].astype(np.int64), before[order][lead]
@@ -230,17 +237,19 @@ def later_matches(key: int, sets: list[np.ndarray], similarity: Fraction) -> lis
     words, place = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), n)
     step = max(64, (1 << 23) // max(1, len(words)))
-    marks = []
-    for a in range(0, len(sets), step):
-        block = np.zeros((min(step, len(sets) - a), len(words)), np.float32)
-        inside = (owner >= a) & (owner < a + step)
-        block[owner[inside] - a, place[inside]] = 1
-        marks.append((a, block))
+    bound = np.concatenate([[0], np.cumsum(n)])
+
+    def block(a: int) -> np.ndarray:
+        made = np.zeros((min(step, len(sets) - a), len(words)), np.float32)
+        inside = slice(bound[a], bound[a + len(made)])
+        made[owner[inside] - a, place[inside]] = 1
+        return made
+
     found = np.zeros(len(sets), bool)
-    for b, later in marks:
-        for a, earlier in marks:
-            if a > b:
-                break
+    for b in range(0, len(sets), step):
+        later = block(b)
+        for a in range(0, b + 1, step):  # two blocks at a time are held
+            earlier = later if a == b else block(a)
             shared = later @ earlier.T
             total = n[b : b + len(later)][:, None] + n[a : a + len(earlier)][None, :]
             hit = shared * (top + low) >= total * top

@@ -135,7 +135,20 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys.view(np.uint64) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
+def _first_places(doc: np.ndarray, start: np.ndarray, *names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries with equal names: the numbers of those at the first place, one each, and of those at later places."""
+    order = np.lexsort((start, doc, *names))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in names:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    first = order[new]
+    lead = first[np.cumsum(new) - 1]
+    return first, order[(doc[order] != doc[lead]) | (start[order] != start[lead])]
+
+
 def _scanner(window: int, gram: int, buckets: int):
+    """Segments by hash, equal ones of a run once; the later ones are copies whatever other runs hold, and are dealt by document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", _RUN_BYTES):
@@ -143,12 +156,17 @@ def _scanner(window: int, gram: int, buckets: int):
                 body, offsets = texts_of(part.column(1))
                 row, start, _, h, c = segments(body, offsets, window, gram)
                 if len(row):
+                    doc, start = ids[row].astype(np.int64), (start - offsets[row]).astype(np.int32)
+                    first, later = _first_places(doc, start, c, h)
+                    at = np.concatenate([first, later])
+                    settled = np.arange(len(at)) >= len(first)
+                    bucket = np.where(settled, _doc_bucket(doc[at], buckets), _bucket(_mixed(h[at].view(np.uint64)).view(np.int64), buckets))
                     yield _pack(
-                        _bucket(_mixed(h.view(np.uint64)).view(np.int64), buckets),
+                        bucket,
                         buckets,
                         {
-                            "h": (h, pa.int64()), "c": (c, pa.int64()), "doc": (ids[row], pa.int64()),
-                            "start": ((start - offsets[row]).astype(np.int32), pa.int32()),
+                            "h": (h[at], pa.int64()), "c": (c[at], pa.int64()), "doc": (doc[at], pa.int64()),
+                            "start": (start[at], pa.int32()), "settled": (settled, pa.bool_()),
                         },
                     )
 
@@ -169,6 +187,11 @@ def _marked(doc, start, n, h, hot) -> pa.RecordBatch:
     )
 
 
+def _copies(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Marks that need no comparison."""
+    return _marked(doc, start, n, pa.nulls(len(doc), pa.int64()), np.zeros(len(doc), bool))
+
+
 def _settle(h: np.ndarray, c: np.ndarray, doc: np.ndarray, start: np.ndarray, hot: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
     """Entries of a bucket: later copies (repeated in full), and first copies that others of their hash must be compared with."""
     order = np.lexsort((start, doc, c, h))
@@ -186,13 +209,19 @@ def _settle(h: np.ndarray, c: np.ndarray, doc: np.ndarray, start: np.ndarray, ho
 
 def _settler(hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(_lists(b, x) for x in ("h", "c", "doc", "start")) for b in batches if len(b)]
-        if held:
-            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            h, c, doc, start, settled = (_lists(batch, x) for x in ("h", "c", "doc", "start", "settled"))
+            settled = settled.astype(bool)
+            if settled.any():
+                yield _copies(doc[settled], start[settled], (c[settled] & 127).astype(np.int32))
+            held.append((h[~settled], c[~settled], doc[~settled], start[~settled]))
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        if columns and len(columns[0]):
             copies, wanted = _settle(*columns, hot)
-            names = copies.schema.names
-            nulls = pa.nulls(len(copies), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(copies.column(i) for i in range(3)), nulls, copies.column(4)], names=names)
+            yield _copies(*(copies.column(i).to_numpy() for i in range(3)))
             yield wanted
 
     return run
@@ -540,7 +569,7 @@ def remove_repeats(
     buckets = partitions(docs.sparkSession)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     narrow, keys = with_document_key(narrow)
-    found = narrow.mapInArrow(_scanner(window, gram, buckets), _PACKED).repartitionById(buckets, F.col("bucket"))
+    found = narrow.mapInArrow(_scanner(window, gram, buckets), _PACKED + ", settled array<boolean>").repartitionById(buckets, F.col("bucket"))
     settled = write_table(found.mapInArrow(_settler(hot), _MARKED), "segments")
     fetched = _with_documents(narrow, settled.where("h is not null"), _fetcher(window, buckets), _FETCHED, buckets)
     indexed = fetched.repartitionById(buckets, F.col("bucket")).mapInArrow(_indexer(window, index_bytes, hot), _MARKED)
