@@ -29,6 +29,12 @@ def _needed(n: int, similarity: Fraction) -> int:
     return -(-n * similarity.numerator // similarity.denominator)
 
 
+def _least_size(similarity: Fraction) -> int:
+    """Tokens of the smaller of two different sets that are similar enough, at least; no such sets at similarity 1."""
+    apart = similarity.denominator - similarity.numerator
+    return -(-similarity.numerator // apart) if apart else 1 << 62
+
+
 def _line_words(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per line: text number and number in its text; per word: hash and line."""
     breaks = np.flatnonzero(body == 10)
@@ -102,11 +108,13 @@ def _scanner(sketch: np.ndarray, buckets: int, similarity: Fraction):
                 size = np.diff(np.append(heads, len(line)))
                 name = np.add.reduceat(_mixed(token ^ np.uint64(0x5851F42D4C957F2D)), heads)
                 name = (_mixed(name) & ~np.uint64(0xFFFF)) | np.minimum(size, 0xFFFF).astype(np.uint64)
+                # sets are equal if both hashes are: 112 bits, besides the size
+                second = _mixed(np.add.reduceat(_mixed(_mixed(token + np.uint64(0x2545F4914F6CDD1D))), heads) + np.uint64(5))
                 lines = line[heads]
                 bits = _counters(token, np.repeat(np.arange(len(heads)), size), len(heads))
                 doc, start = ids[text[lines]], number[lines].astype(np.int32)
-                first, later = _first_places(doc, start, name)  # the later ones go, whatever other runs hold
-                once = first[size[first] >= 4]  # shorter sets are similar only when equal
+                first, later = _first_places(doc, start, second, name)  # the later ones go, whatever other runs hold
+                once = first[size[first] >= _least_size(similarity)]  # shorter sets are similar only when equal
                 n = size[once]
                 prefix = n - -(-n * similarity.numerator // similarity.denominator) + 1
                 owner = np.repeat(once, prefix)
@@ -116,13 +124,13 @@ def _scanner(sketch: np.ndarray, buckets: int, similarity: Fraction):
                 which = np.concatenate([first, owner, later])
                 none, gone = np.zeros(len(first), np.int64), np.full(len(later), _GONE, np.int64)
                 rest = np.concatenate([none, size[owner] - 1 - place, gone]).astype(np.int32)
-                before = np.where(place > 0, token[np.maximum(at, 1) - 1], name[owner])  # no two lines share their names
+                before = np.where(place > 0, token[np.maximum(at, 1) - 1], second[owner])  # no two sets share it
                 before = np.concatenate([none, before.view(np.int64), gone])
                 met = _bucket(_mixed(h.view(np.uint64)).view(np.int64), buckets)
                 yield _pack(
                     np.where(rest == _GONE, _doc_bucket(doc[which], buckets), met), buckets,
                     {
-                        "h": (h, pa.int64()), "c": (name[which].view(np.int64), pa.int64()),
+                        "h": (h, pa.int64()), "c": (name[which].view(np.int64), pa.int64()), "d": (second[which].view(np.int64), pa.int64()),
                         "doc": (doc[which], pa.int64()), "start": (start[which], pa.int32()),
                         "bits": (bits[which].view(np.int64), pa.int64()), "rest": (rest, pa.int32()), "before": (before, pa.int64()),
                     },
@@ -140,18 +148,18 @@ def _settler(similarity: Fraction):
         for batch in batches:
             if len(batch):
                 entry = tuple(_lists(batch, x) for x in _ENTRY)
-                gone = entry[5] == _GONE
+                gone = entry[6] == _GONE
                 if gone.any():
-                    yield _copies(entry[2][gone], entry[3][gone], np.zeros(int(gone.sum()), np.int32))
+                    yield _copies(entry[3][gone], entry[4][gone], np.zeros(int(gone.sum()), np.int32))
                 held.append(tuple(x[~gone] for x in entry))
         if not sum(len(x[0]) for x in held):
             return
-        h, c, doc, start, bits, rest, before = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, c, d, doc, start, bits, rest, before = (np.concatenate(x) for x in zip(*held, strict=True))
         size = (c & 0xFFFF).astype(np.int64)
-        order = np.lexsort((start, doc, c, size, h))
-        h, c, doc, start, size, bits = h[order], c[order], doc[order], start[order], size[order], bits[order].view(np.uint64)
+        order = np.lexsort((start, doc, d, c, size, h))
+        h, c, d, doc, start, size, bits = h[order], c[order], d[order], doc[order], start[order], size[order], bits[order].view(np.uint64)
         new_h = np.concatenate([[True], h[1:] != h[:-1]])
-        new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
+        new_c = new_h | np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
         same = np.concatenate([[False], (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])])
         gone = ~new_c & (h == c) & ~same
         yield _copies(doc[gone], start[gone], np.zeros(int(gone.sum()), np.int32))
@@ -179,8 +187,8 @@ def _settler(similarity: Fraction):
     return run
 
 
-_MET = _PACKED + ", bits array<long>, rest array<int>, before array<long>"
-_ENTRY = ("h", "c", "doc", "start", "bits", "rest", "before")
+_MET = _PACKED.replace(", c array<long>", ", c array<long>, d array<long>") + ", bits array<long>, rest array<int>, before array<long>"
+_ENTRY = ("h", "c", "d", "doc", "start", "bits", "rest", "before")
 _SETS = "bucket int, key long, doc long, start int, tokens binary"
 
 
