@@ -13,8 +13,14 @@ from evidence_spark.sources.tables import write_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a learned language is found; a text that is null or has no letter goes."""
+    """Documents with a letter: only a text that is null or has none goes.
+
+    The stage gives every text with a letter one of the learned languages, so the field's scores reject nothing, and
+    where no row had a language to learn from all documents stay.
+    """
     model = language.train(docs.where(~language.is_held_out()))
+    if not model.labels:
+        return docs
     held = [F.col(c).alias(f"_kept_{c}") for c in docs.columns]
     found = language.label(docs, model, keep=held).where(F.col("lang_pred") != language.UNKNOWN)
     return found.select(*(F.col(f"_kept_{c}").alias(c) for c in docs.columns))
@@ -64,7 +70,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", sequences),
 ]
 
-#: The learned labels, fingerprints and token ids are beyond SQL; the tests hold the stages against brute force.
+#: The learned labels, fingerprints and token ids are beyond SQL; the tests hold the choosing stages against brute force.
 ORACLE_SQL = None
 
 
