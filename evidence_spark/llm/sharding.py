@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidence_spark.llm.common import global_rank
-from evidence_spark.sources.tables import write_table
+from evidence_spark.sources.tables import broadcast_checked, write_table
 
 SHARDS = 16
 #: Bits per dimension: 2**BITS steps along each axis.
@@ -49,10 +49,10 @@ def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def _leading(c: Column) -> Column:
-    """A string's first seven bytes as a number, so that strings keep their order."""
-    head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the strings of a column replaced by their rank among its distinct ones; null stays null."""
+    ranked = global_rank(rows.where(F.col(name).isNotNull()).select(name).distinct(), [name], "_rank")
+    return rows.join(broadcast_checked(ranked), name, "left").drop(name).withColumnRenamed("_rank", name)
 
 
 def hilbert_order(docs: DataFrame, dimensions: Sequence[Column], keep: Sequence[Column], bits: int = BITS) -> DataFrame:
@@ -87,7 +87,7 @@ def hilbert_order(docs: DataFrame, dimensions: Sequence[Column], keep: Sequence[
 def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard), one row per input row.
 
-    Dimensions: language, source, size and doc_id.  The curve's order (ties by doc_id, then checksum) is cut into
+    Dimensions: language and source by rank among their distinct strings, size and doc_id.  The curve's order (ties by doc_id, then checksum) is cut into
     runs whose row counts differ by one at most: law ``rows``.  ``slot`` counts along the curve.  Size is the UTF-8
     bytes of the text plus one; null has none, and the checksum of the empty text.
     """
@@ -98,8 +98,11 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
         size.alias("size"),
         F.crc32(F.encode(F.coalesce(content, F.lit("")), "UTF-8")).alias("text_crc32"),
     ]
-    dimensions = [_leading(F.col("lang").cast("string")), _leading(F.col("source").cast("string")), size, F.col(doc_id)]
-    ordered = global_rank(hilbert_order(docs, dimensions, keep, bits), ["hilbert", "doc_id", "text_crc32"], "rank")
+    kept = ["doc_id", "size", "text_crc32"]
+    narrow = docs.select(*keep, F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"))
+    numbered = _numbered(_numbered(narrow, "_lang"), "_source")
+    dimensions = [F.col("_lang"), F.col("_source"), F.col("size"), F.col("doc_id")]
+    ordered = global_rank(hilbert_order(numbered, dimensions, [F.col(c) for c in kept], bits), ["hilbert", "doc_id", "text_crc32"], "rank")
     ordered = write_table(ordered, "hilbert")
     rows = max(1, ordered.count())
     place = F.expr(f"cast(rank * {shards} div {rows} as int)")

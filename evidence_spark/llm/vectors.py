@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -113,26 +114,58 @@ def _comparer(size: int, threshold: float):
     return run
 
 
+def _links(classes: DataFrame, size: int, rows: float, threshold: float) -> DataFrame:
+    """(a, b, links) of the classes, all of length ``size``, with ``rows`` of them a label on average."""
+    sample = np.array([r["vec"] for r in classes.select("vec", "k1").orderBy(F.xxhash64("k1"), "k1").limit(SAMPLE_ROWS).select("vec").collect()])
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    words = int(np.clip(round((rows / CELL_ROWS) ** 0.5), 1, MAX_WORDS))
+    half = size // 2
+    left, right = _codebook(sample[:, :half], words, 1), _codebook(sample[:, half:], words, 2)
+    reach = (2 - 2 * threshold) ** 0.5
+    probes = write_table(
+        classes.select("rep", "copies", "label", "vec").mapInArrow(
+            _prober(left, right, size, reach), "rep long, copies long, label string, vec array<double>, cell long, member boolean"
+        ),
+        "probes",
+    )
+    cells = (
+        probes.groupBy("label", "cell")
+        .agg(F.count_if("member").alias("n"), F.count_if(~F.col("member")).alias("p"))
+        .where("n > 0")
+        .select("label", "cell", F.ceil(F.col("n") / TILE).cast("int").alias("mine"), F.ceil(F.col("p") / (8 * TILE)).cast("int").alias("seen"))
+    )
+    known = probes.join(cells, ["label", "cell"])
+    across = F.when(F.col("member"), F.col("seen")).otherwise(F.col("mine"))
+    along = F.when(F.col("member"), F.pmod(F.xxhash64("rep"), "mine")).otherwise(F.pmod(F.xxhash64("rep"), "seen")).cast("int")
+    tiled = known.select("*", along.alias("x"), F.explode(F.sequence(F.lit(0), across - 1)).alias("y")).select(
+        "rep", "copies", "label", "vec", "cell", "member",
+        F.when(F.col("member"), F.col("x")).otherwise(F.col("y")).alias("tile_a"),
+        F.when(F.col("member"), F.col("y")).otherwise(F.col("x")).alias("tile_b"),
+    )
+    return write_table(
+        tiled.groupBy("label", "cell", "tile_a", "tile_b").applyInArrow(_comparer(size, threshold), "a long, b long, links long"), "links"
+    )
+
+
 def near_vectors(
     vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row.
 
     Vectors of one label are linked if their cosine reaches ``threshold``.  Equal vectors collapse to a class first.
-    The codebooks are fitted on at most ``SAMPLE_ROWS`` classes; every class is indexed.  Null labels, and vectors that are
-    null, zero, of another length than most, or hold null or non-finite components, link with nothing.
+    The codebooks of a length are fitted on at most ``SAMPLE_ROWS`` classes; every class is indexed.  Null labels, and vectors that are
+    null, empty, zero, or hold null or non-finite components, link with nothing.  Only vectors of one length are compared;
+    every length has codebooks and an index of its own.
     Rows that repeat a vec_id are different vectors of one id.
     """
     spark = vectors.sparkSession
     raw = vectors.select(
         F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vec")
     )
-    usual = raw.where(F.size("vec") > 0).groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    size = usual["n"] if usual else 0
     number = F.lit(float("inf"))
     sound = F.coalesce(
         F.col("label").isNotNull()
-        & (F.size("vec") == size)
+        & (F.size("vec") > 0)
         & F.forall("vec", lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < number), F.lit(False)))
         & F.exists("vec", lambda x: x != 0),
         F.lit(False),
@@ -146,38 +179,11 @@ def near_vectors(
         ),
         "classes",
     )
-    shape = classes.agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).first()
-    if not shape["n"]:
+    length = F.size("vec")
+    shapes = classes.groupBy(length.alias("size")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).orderBy("size").collect()
+    if not shapes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = np.array([r["vec"] for r in classes.select("vec", "k1").orderBy(F.xxhash64("k1"), "k1").limit(SAMPLE_ROWS).select("vec").collect()])
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    words = int(np.clip(round((shape["n"] / shape["labels"] / CELL_ROWS) ** 0.5), 1, MAX_WORDS))
-    half = size // 2
-    left, right = _codebook(sample[:, :half], words, 1), _codebook(sample[:, half:], words, 2)
-    reach = (2 - 2 * threshold) ** 0.5
-    probes = write_table(
-        classes.select("rep", "copies", "label", "vec").mapInArrow(
-            _prober(left, right, size, reach), "rep long, copies long, label string, vec array<double>, cell long, member boolean"
-        ),
-        "probes",
-    )
-    cells = (
-        probes.groupBy("label", "cell")
-        .agg(F.count_if("member").alias("n"), F.count_if(~F.col("member")).alias("p"))
-        .where("n > 0")
-        .select("label", "cell", F.ceil(F.col("n") / TILE).cast("int").alias("mine"), F.ceil(F.col("p") / (8 * TILE)).cast("int").alias("seen"))
-    )
-    known = probes.join(cells, ["label", "cell"])
-    across = F.when(F.col("member"), F.col("seen")).otherwise(F.col("mine"))
-    along = F.when(F.col("member"), F.pmod(F.xxhash64("rep"), "mine")).otherwise(F.pmod(F.xxhash64("rep"), "seen")).cast("int")
-    tiled = known.select("*", along.alias("x"), F.explode(F.sequence(F.lit(0), across - 1)).alias("y")).select(
-        "rep", "copies", "label", "vec", "cell", "member",
-        F.when(F.col("member"), F.col("x")).otherwise(F.col("y")).alias("tile_a"),
-        F.when(F.col("member"), F.col("y")).otherwise(F.col("x")).alias("tile_b"),
-    )
-    found = write_table(
-        tiled.groupBy("label", "cell", "tile_a", "tile_b").applyInArrow(_comparer(size, threshold), "a long, b long, links long"), "links"
-    )
+    found = reduce(DataFrame.union, (_links(classes.where(length == r["size"]), r["size"], r["n"] / r["labels"], threshold) for r in shapes))
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("others"))
     joined = components(found.select("a", "b")).withColumnRenamed("node", "rep")
     named = write_table(
