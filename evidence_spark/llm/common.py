@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evidence_spark.sources.tables import write_table
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SPACE = np.zeros(256, dtype=bool)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidence_spark.llm import exact_dedup, filter_audit, language, lines, manifest, mixing, packing, personal_data, repeats, sharding, simhash, vectors
+from evidence_spark.llm import exact_dedup, filter_audit, language, lines, manifest, mixing, packing, passages, personal_data, repeats, sharding, simhash, vectors
 from evidence_spark.llm.common import documents
 
 #: The tokenizer file, the same vocabulary as ranks, and the pattern that splits texts into words.
@@ -67,6 +67,10 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
+def op13_phrase_automata(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.remove_passages(documents(spark, folder)).drop("kept")
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_personal_data": op2_personal_data,
@@ -80,6 +84,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_filter_audit": op12_filter_audit,
+    "op13_phrase_automata": op13_phrase_automata,
 }
 
 ORACLES = {
@@ -181,4 +186,24 @@ ORACLES = {
                sum(removed) over (partition by part, now)::bigint as shapley
         from r
     """,
+    "op13_phrase_automata": """
+        with d as (
+            select row_number() over () as nr, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents
+        ), w as (
+            select nr, pos, array_to_string(words[pos:pos + 34], ' ') as phrase
+            from (select nr, words, unnest(range(1, len(words) - 33)) as pos from d where len(words) >= 35)
+        ), r as (
+            select nr, pos from (select nr, pos, count(*) over (partition by phrase) as n from w) where n > 1
+        ), g as (
+            select nr, pos, lead(pos) over (partition by nr order by pos) as next from r
+        ), gone as (
+            select distinct nr, unnest(range(pos, least(pos + 35, coalesce(next, pos + 35)))) as pos from g
+        ), kept as (
+            select nr, array_to_string(list(word order by pos), ' ') as kept, count(*) as n
+            from (select nr, unnest(words) as word, unnest(range(1, len(words) + 1)) as pos from d) anti join gone using (nr, pos)
+            group by nr
+        )
+        select doc_id, len(words) as n_words, len(words) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from d left join kept using (nr)
+    """,
 }
