@@ -46,7 +46,7 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
 def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codec = pa.Codec("zstd", compression_level=3)
+    codec = pa.Codec("zstd", compression_level=6)
     for batch in batches:
         for part in slices(batch, "text", RUN_BYTES):
             body, offsets = texts_of(part.column(1))
@@ -175,6 +175,7 @@ def wanted(entries: DataFrame, hot: int) -> DataFrame:
     places = 1 + F.when(F.col("again") >= 0, 1).otherwise(0)
     counted = (
         entries.withColumn("rank", F.row_number().over(segment.orderBy("run")))
+        .withColumn("inside", F.first("again").over(segment.orderBy("run")) >= 0)
         .withColumn("twice", F.sum(places).over(segment) > 1)
         .withColumn("kind", F.dense_rank().over(anchor.orderBy("c")))
         .withColumn("total", F.sum(places).over(anchor))
@@ -189,7 +190,7 @@ def wanted(entries: DataFrame, hot: int) -> DataFrame:
 
     roles = F.array(
         row(whole, _HOLDER),
-        row(whole & (F.col("rank") <= 2), _WORDS),
+        row(whole & (first | ((F.col("rank") == 2) & ~F.col("inside"))), _WORDS),
         row(whole & first & (F.col("again") >= 0), _WORDS, "again"),
         row(first & F.col("spread"), _WINDOWS, h=F.col("h")),
     )
