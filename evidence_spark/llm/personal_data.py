@@ -16,9 +16,9 @@ from evidence_spark.sources.tables import write_table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written so that every text is scanned once: what comes before a match keeps it from
-#: starting inside a longer one, and repeats of fixed characters do not backtrack.
+#: starting inside a longer one, and repeats, that of a domain's labels too, do not backtrack: no text is deep enough to exhaust a stack.
 BASE = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
