@@ -126,6 +126,8 @@ def shards(points: DataFrame, max_distance: int = MAX_DISTANCE, shard_size: int
             known.where("split").select(F.explode(places).alias("p"), "fp", "rep").select("p.node", "fp", "rep", "p.own"),
             f"vantage{level}",
         )
+    else:
+        raise RuntimeError("points were left unsplit; raise shard_size")
     result = finished[0]
     for more in finished[1:]:
         result = result.union(more)
@@ -208,19 +210,19 @@ def near_duplicates(
     Texts: A-Z lower-cased, words split at space and 0x09-0x0D, ``words``-word shingles with repeats.  A text
     of fewer words is one shingle; one without words (null and empty too) has fingerprint zero.  Rows
     whose fingerprints differ in at most ``max_distance`` bits are linked, equal ones collapse first; the
-    component id is the smallest doc_id reachable.  A repeated doc_id keeps one row per input row.
+    component id is the smallest doc_id reachable, null if no row of the component has one.  A repeated doc_id keeps one row per input row.
     """
     rows = write_table(fingerprints(docs, doc_id, text, words), "fingerprints")
-    points = write_table(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
-    dealt = shards(points, max_distance, shard_size)
+    points = write_table(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "points")
+    # a fingerprint stands for its rows, which may all be without an id
+    dealt = shards(points.select("fp", F.col("fp").alias("rep")), max_distance, shard_size)
     edges = dealt.groupBy("node").applyInArrow(_linker(max_distance), "a long, b long")
     found = components(edges)
-    named = write_table(
-        points.join(found, points["rep"] == found["node"], "left").select(
-            "fp", F.coalesce("component", "rep").alias("component_id")
-        ),
-        "named",
+    grouped = write_table(
+        points.join(found, points["fp"] == found["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("group")), "grouped"
     )
+    least = grouped.groupBy("group").agg(F.min("id").alias("component_id"))
+    named = write_table(grouped.join(least, "group").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
