@@ -67,6 +67,12 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), size)
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; each is scaled by its largest component first, so that no square overflows or vanishes."""
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def _prober(left: np.ndarray, right: np.ndarray, size: int, reach: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = size // 2
@@ -74,7 +80,7 @@ def _prober(left: np.ndarray, right: np.ndarray, size: int, reach: float):
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
                 rows = _matrix(batch.column(3), size)
-                unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+                unit = _unit(rows)
                 near1, gap1 = _margins(unit[:, :half], left)
                 near2, gap2 = _margins(unit[:, half:], right)
                 own = near1 * len(right) + near2
@@ -95,7 +101,7 @@ def _comparer(size: int, threshold: float):
         """One tile: links of every visitor with the tile's members, and the tile's groups as edges to their first id."""
         batch = table.combine_chunks()
         rows = _matrix(batch.column("vec").combine_chunks(), size)
-        unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+        unit = _unit(rows)
         rep = batch.column("rep").to_numpy()
         copies = batch.column("copies").to_numpy()
         member = batch.column("member").to_numpy(zero_copy_only=False).astype(bool)
@@ -117,7 +123,7 @@ def _comparer(size: int, threshold: float):
 def _links(classes: DataFrame, size: int, rows: float, threshold: float) -> DataFrame:
     """(a, b, links) of the classes, all of length ``size``, with ``rows`` of them a label on average."""
     sample = np.array([r["vec"] for r in classes.select("vec", "k1").orderBy(F.xxhash64("k1"), "k1").limit(SAMPLE_ROWS).select("vec").collect()])
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    sample = _unit(sample)
     words = int(np.clip(round((rows / CELL_ROWS) ** 0.5), 1, MAX_WORDS))
     half = size // 2
     left, right = _codebook(sample[:, :half], words, 1), _codebook(sample[:, half:], words, 2)
@@ -156,7 +162,7 @@ def near_vectors(
     The codebooks of a length are fitted on at most ``SAMPLE_ROWS`` classes; every class is indexed.  Null labels, and vectors that are
     null, empty, zero, or hold null or non-finite components, link with nothing.  Only vectors of one length are compared;
     every length has codebooks and an index of its own.
-    Rows that repeat a vec_id are different vectors of one id.
+    Rows that repeat a vec_id are different vectors of one id.  The component of vectors without an id only has none, and keeps them.
     """
     spark = vectors.sparkSession
     raw = vectors.select(
@@ -173,10 +179,11 @@ def near_vectors(
     rows = write_table(
         raw.withColumn("sound", sound).withColumn("k1", F.xxhash64("label", "vec")).withColumn("k2", F.xxhash64("vec", "label")), "vectors"
     )
+    # a class is numbered: all its vectors may be without an id
     classes = write_table(
         rows.where("sound").groupBy("k1", "k2").agg(
-            F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec")
-        ),
+            F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec")
+        ).withColumn("rep", F.monotonically_increasing_id()),
         "classes",
     )
     length = F.size("vec")
@@ -186,17 +193,18 @@ def near_vectors(
     found = reduce(DataFrame.union, (_links(classes.where(length == r["size"]), r["size"], r["n"] / r["labels"], threshold) for r in shapes))
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("others"))
     joined = components(found.select("a", "b")).withColumnRenamed("node", "rep")
-    named = write_table(
-        classes.select("k1", "k2", "rep", "copies").join(counts, "rep", "left").join(joined, "rep", "left").select(
-            "k1", "k2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c")
+    grouped = write_table(
+        classes.select("k1", "k2", "rep", "id", "copies").join(counts, "rep", "left").join(joined, "rep", "left").select(
+            "k1", "k2", "id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("group")
         ),
-        "named",
+        "grouped",
     )
+    named = write_table(grouped.join(grouped.groupBy("group").agg(F.min("id").alias("c")), "group").select("k1", "k2", "n", "c"), "named")
     known = rows.join(named, ["k1", "k2"], "left")
     component = F.when(F.col("sound"), F.col("c")).otherwise(F.col("vec_id"))
     return known.select(
         "vec_id",
         F.when(F.col("sound"), F.col("n")).otherwise(0).cast("long").alias("n_links"),
         component.alias("component_id"),
-        (F.col("vec_id") == component).alias("kept"),
+        F.col("vec_id").eqNullSafe(component).alias("kept"),
     )
