@@ -203,15 +203,16 @@ def mix(
     target rounded to words.  No block is shown more often than ``most`` times.
 
     Null or blank texts have size 0 and nothing is taken from them; null is a source of its own, the last.  Rows that
-    share a doc_id are taken one behind the other, those without one at the end; ``row`` names a column that tells rows
+    share a doc_id are taken one behind the other, by size and the text's checksum, those without one at the end; ``row`` names a column that tells rows
     apart and orders them then.  Empty tables give empty results.
     """
     spark = docs.sparkSession
     rows = [] if row is None else [F.col(row).cast("long").alias("row")]
     narrow = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), *rows, F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text")
-    )
-    counted = f"doc_id long, {'row long, ' * len(rows)}source string, size long"
+        F.col(doc_id).cast("long").alias("doc_id"), *rows, F.col(source).cast("string").alias("source"),
+        F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").alias("text"),
+    )
+    counted = f"doc_id long, {'row long, ' * len(rows)}source string, mark long, size long"
     sizes = write_table(narrow.mapInArrow(_word_counter, counted), "sizes")
     found = sizes.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -223,7 +224,7 @@ def mix(
     ]
     order = spark.createDataFrame([(s.name, i) for i, s in enumerate(sources)], "_name string, src int")
     numbered = sizes.join(F.broadcast(order), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    placed = write_table(prefix_sums(numbered, "src", ["doc_id", *["row"] * len(rows)], "size", "start"), "placed")
+    placed = write_table(prefix_sums(numbered, "src", ["doc_id", *["row"] * len(rows), "size", "mark"], "size", "start"), "placed")
     ends = [_slots_of(s, block_words) for s in sources]
     totals = np.array([n for n, _ in ends], dtype=np.int64)
     shards = -(-int(totals.sum()) // shard_slots)
