@@ -72,8 +72,8 @@ def main() -> None:
     queries = t.queries(spark, folder)
     n_queries = queries.count()
     evidence = timed("batch_top8", lambda: write_table(retrieval.search(index, queries), "bench_evidence"))
-    terms = queries.select("query_id", F.substring("query", 1, 40).alias("term"))
-    truth = timed("literal_truth", lambda: write_table(retrieval_eval.literal_truth(index.chunks, terms), "bench_truth"))
+    terms = queries.select("query_id", F.col("query").alias("term"))
+    truth = timed("literal_truth", lambda: write_table(retrieval_eval.literal_truth(index, terms), "bench_truth"))
     recall = timed("recall", lambda: retrieval_eval.recall(retrieval_eval.evaluate(truth, evidence)).first())
 
     key = (spark.sparkContext.applicationId, folder)

@@ -2,37 +2,102 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from evidence_spark.functions.ngrams import count_ngrams
+from evidence_spark.functions.text import words
 from evidence_spark.operators.chunking import CHUNK_KEY
-from evidence_spark.sources.tables import broadcast_checked
+from evidence_spark.operators.retrieval import EvidenceIndex
+from evidence_spark.sources.tables import write_table
 
 CUTOFFS = (3, 5, 8)
-ANCHOR = 12
+#: Characters of the terms in one automaton; more terms make more automata of this size.
+SHARD_CHARS = 1_000_000
 
 
-def literal_truth(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """Chunks containing the term (query_id, term), case and all.
+def anchors(index: EvidenceIndex, terms: DataFrame) -> DataFrame:
+    """(term_no, gram_no) of the terms (term_no, term) that have a word inside: the rarest gram of those words.
 
-    Not a scan of every chunk for every term: the first characters of the terms are
-    a hash table that the substrings of a chunk probe; the whole term is compared
-    only where they agree, and only its first place in the chunk counts.
+    A word that has white space of the term on both sides is a word of every chunk that contains the term, so its
+    grams are the chunk's too.  A term with a gram that the corpus lacks has no row: no chunk contains it.
     """
-    keyed = terms.where(F.length("term") > 0).withColumn("anchor", F.substring("term", 1, ANCHOR))
-    # At most ANCHOR different lengths.
-    sizes = sorted(row[0] for row in keyed.select(F.length("anchor")).distinct().collect()) or [ANCHOR]
-    cut = F.explode(
-        F.array(
-            *[F.when(F.col("i") + n - 1 <= F.length("text"), F.substring("text", F.col("i"), F.lit(n))) for n in sizes]
-        )
+    found = words(F.lower("term"))
+    inner = F.array_join(F.slice(found, F.lit(2), F.size(found) - 2), " ")
+    cut = terms.where(F.size(found) > 2).select("term_no", inner.alias("inner"))
+    grams = count_ngrams(cut, "inner", ["term_no"], index.n_min, index.n_max)
+    known = grams.join(index.vocab.select("gram", "gram_no", "df"), "gram", "left")
+    rarest = known.groupBy("term_no").agg(
+        F.min(F.struct("df", "gram_no")).alias("rarest"), F.count_if(F.col("gram_no").isNull()).alias("lacking")
+    )
+    return rarest.where("lacking = 0").select("term_no", "rarest.gram_no")
+
+
+def _locator(shared):
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for number, term in shared.value:
+            automaton.add_word(term, number)
+        automaton.make_automaton()
+        for batch in batches:
+            chunk, term = [], []
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = {n for _, n in automaton.iter(text)}
+                chunk += [number] * len(found)
+                term += found
+            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(term, pa.int64())], names=["chunk_no", "term_no"])
+
+    return locate
+
+
+def _scanned(chunks: DataFrame, terms: DataFrame, shard_chars: int) -> DataFrame | None:
+    """(chunk_no, term_no) of the terms that have no word inside, by automata that the chunk texts stream through."""
+    size = terms.agg(F.sum(F.length("term"))).first()[0]
+    if not size:
+        return None
+    shards = -(-size // shard_chars)
+    dealt = F.pmod(F.xxhash64("term_no"), F.lit(shards))
+    found = None
+    for shard in range(shards):
+        held = [(r["term_no"], r["term"]) for r in terms.where(dealt == shard).collect()]
+        if held:
+            shared = chunks.sparkSession.sparkContext.broadcast(held)
+            places = chunks.select("chunk_no", "text").mapInArrow(_locator(shared), "chunk_no long, term_no long")
+            found = places if found is None else found.unionByName(places)
+    return found
+
+
+def literal_truth(index: EvidenceIndex, terms: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """Chunks containing the whole term (query_id, term), case and all: (query_id, chunk key, chunk_id).
+
+    A term's candidates are the chunks that hold its rarest gram; the term itself is compared with those texts only.  Terms
+    without a word inside are located by automata.  A term that runs over the end of a chunk is in no chunk; null and empty
+    terms are in none.
+    """
+    asked = write_table(terms.where(F.length("term") > 0).select(F.monotonically_increasing_id().alias("id"), "query_id", "term"), "asked")
+    distinct = write_table(asked.groupBy("term").agg(F.min("id").alias("term_no")), "terms")
+    rarest = write_table(anchors(index, distinct), "anchors")
+    held = index.postings.select("chunk_no", F.explode("grams").alias("gram_no"))
+    candidates = write_table(held.join(rarest, "gram_no").select("chunk_no", "term_no"), "candidates")
+    # the written tables have known sizes, by which the planner chooses its joins
+    found = (
+        index.chunks.select("chunk_no", "text")
+        .join(candidates, "chunk_no")
+        .join(distinct, "term_no")
+        .where(F.col("text").contains(F.col("term")))
+        .select("chunk_no", "term_no")
     )
-    places = chunks.select(
-        *CHUNK_KEY, "chunk_id", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("i")
-    ).select("*", cut.alias("anchor"))
-    whole = F.substring(F.col("text"), F.col("i"), F.length("term")) == F.col("term")
+    scanned = _scanned(index.chunks, distinct.where(F.size(words(F.lower("term"))) <= 2), shard_chars)
+    if scanned is not None:
+        found = found.unionByName(scanned)
     return (
-        places.join(broadcast_checked(keyed), "anchor")
-        .where(whole & (F.position(F.col("term"), F.col("text")) == F.col("i")))
+        found.join(distinct, "term_no")
+        .join(asked, "term")
+        .join(index.chunks.select("chunk_no", *CHUNK_KEY, "chunk_id"), "chunk_no")
         .select("query_id", *CHUNK_KEY, "chunk_id")
     )
 

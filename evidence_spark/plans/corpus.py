@@ -90,7 +90,7 @@ evidence_t AS (
 """
 
 TRUTH = """
-term_t AS (SELECT item_id AS query_id, substr(text, 1, 40) AS term FROM benchmark),
+term_t AS (SELECT item_id AS query_id, text AS term FROM benchmark),
 truth_t AS (SELECT query_id, chunk_id FROM term_t, primary_t WHERE contains(text, term))
 """
 
@@ -108,14 +108,12 @@ hit_t AS (
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
-    return t.read(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("term")
-    )
+    return t.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("term"))
 
 
 def _truth(spark: SparkSession, sf: str) -> DataFrame:
     build = lambda: write_table(
-        retrieval_eval.literal_truth(t.index(spark, sf).chunks, _terms(spark, sf)), "truth"
+        retrieval_eval.literal_truth(t.index(spark, sf), _terms(spark, sf)), "truth"
     )
     return t.once(spark, sf, "truth", build)
 
