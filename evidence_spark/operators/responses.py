@@ -7,6 +7,7 @@ JSON but breaks its contract is DOMAIN_INVALID and is not repaired.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from evidence_spark.functions.checks import (
     accepted,
@@ -54,45 +55,60 @@ NULLABLE = ("historical_reference_id", "evidence_text", "assessed_category")
 TEXTBOOK = "status string, evidence_refs array<int>, reason string"
 
 
-def _top_fields(schema: str) -> list[str]:
-    from pyspark.sql.types import StructType
+_NUMBER = r"(?:BIGINT|FLOAT|DOUBLE|DECIMAL\(\d+,\d+\))"
+_PLAIN = {"string": "STRING", "boolean": "BOOLEAN", "int": "BIGINT", "bigint": "BIGINT", "double": _NUMBER}
 
-    return StructType.fromDDL(schema).fieldNames()
 
+def _shape(kind: DataType) -> str:
+    """Pattern of the schemas that a contract admits, for the schema of a parsed response.
 
-def parse(raw: Column, schema: str) -> Column:
-    return F.from_json(raw, schema)
+    Fields come sorted and may be absent; one that is null, of another type or unknown does not match, at any level.
+    """
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        held = {f.name: _shape(f.dataType) for f in fields}
+        held |= {name: f"(?:{held[name]}|VOID)" for name in NULLABLE if name in held}
+        return "OBJECT<" + "".join(f"(?:{name}: {inner}(?:, |(?=>)))?" for name, inner in held.items()) + ">"
+    if isinstance(kind, ArrayType):
+        return f"ARRAY<(?:{_shape(kind.elementType)}|VOID)>"
+    return _PLAIN[kind.simpleString()]
 
 
-def no_other_fields(raw: Column, schema: str) -> Column:
-    """``from_json`` passes over unknown fields; the contract does not."""
-    allowed = F.array(*[F.lit(name) for name in _top_fields(schema)])
-    return F.coalesce(F.size(F.array_except(F.json_object_keys(raw), allowed)) == 0, F.lit(False))
+def _typed(parsed: Column, schema: str) -> Column:
+    return F.coalesce(F.schema_of_variant(parsed).rlike(f"^{_shape(StructType.fromDDL(schema))}$"), F.lit(False))
 
 
-def _shape(raw: Column) -> Column:
-    """Fields and types of a JSON text at all levels; numbers are one type, nulls of nullable fields are left out."""
-    types = F.regexp_replace(F.schema_of_variant(F.try_parse_json(raw)), r"BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\)", "NUMBER")
-    names = "|".join(NULLABLE)
-    return F.regexp_replace(F.regexp_replace(types, rf"(?:, )?\b(?:{names}): VOID", ""), "OBJECT<, ", "OBJECT<")
+def _known(parsed: Column, schema: str) -> Column:
+    """No field at the top that the contract lacks; false for what is no object."""
+    allowed = F.array(*map(F.lit, StructType.fromDDL(schema).fieldNames()))
+    keys = F.map_keys(F.try_variant_get(parsed, "$", "map<string,variant>"))
+    return F.coalesce(F.size(F.array_except(keys, allowed)) == 0, F.lit(False))
 
 
-def as_typed(raw: Column, parsed: Column) -> Column:
-    """What was read says all that the response said: no nested field passed over, no value turned into another type.
+def _read(parsed: Column, schema: str) -> Column:
+    return F.try_variant_get(parsed, "$", f"struct<{schema}>")
+
+
+def _contract(parsed: Column, schema: str) -> dict[str, Column]:
+    known = _known(parsed, schema)
+    return {"unknown field": known, "nested field unknown or of another type": ~known | _typed(parsed, schema)}
+
+
+def _status(parsed: Column, errors: Column) -> Column:
+    return F.when(parsed.isNull(), "MALFORMED").when(F.size(errors) > 0, "DOMAIN_INVALID").otherwise("OK")
 
-    A present field that cannot be read, null included, is thus a fault and not a missing field.
-    """
-    return F.coalesce(_shape(raw) == _shape(F.to_json(parsed)), F.lit(False))
 
+def judged(responses: DataFrame, schema: str, rules: dict[str, Column]) -> DataFrame:
+    """``responses`` with ``r`` (the response by its contract), ``status`` and ``errors``; ``rules`` speak of ``r``.
 
-def verdict_of(raw: Column, schema: str, rules: dict[str, Column], parsed: Column | None = None) -> tuple[Column, Column]:
-    """(status, errors) of a response: MALFORMED, DOMAIN_INVALID or OK.  ``parsed`` is the response read by its schema."""
-    malformed = F.try_parse_json(raw).isNull()
-    known = no_other_fields(raw, schema)
-    typed = as_typed(raw, F.col("r") if parsed is None else parsed)
-    errors = failed_rules({"unknown field": known, "nested field unknown or of another type": ~known | typed, **rules})
-    status = F.when(malformed, "MALFORMED").when(F.size(errors) > 0, "DOMAIN_INVALID").otherwise("OK")
-    return status, F.when(malformed, F.array(F.lit("not JSON"))).otherwise(errors)
+    ``raw`` is parsed once.  The parsed value gives the fields, and its schema is held against the contract: there is no second
+    reading of the text.  Every column is a projection of its own that later ones refer to.
+    """
+    held = responses.withColumn("_v", F.try_parse_json("raw"))
+    held = held.withColumn("r", _read(F.col("_v"), schema))
+    broken = failed_rules({**_contract(F.col("_v"), schema), **rules})
+    held = held.withColumn("errors", F.when(F.col("_v").isNull(), F.array(F.lit("not JSON"))).otherwise(broken))
+    return held.withColumn("status", _status(F.col("_v"), F.col("errors"))).drop("_v")
 
 
 def _blueprint_rules(b: Column) -> dict[str, Column]:
@@ -121,9 +137,8 @@ def ingest_questions(responses: DataFrame) -> DataFrame:
     source_entity.  Each row ends as a candidate or with a failure type and message.
     """
     r = F.col("r")
-    parsed = responses.withColumn("r", parse(F.col("raw"), QUESTION))
-    status, errors = verdict_of(
-        F.col("raw"),
+    found = judged(
+        responses,
         QUESTION,
         {
             **_blueprint_rules(r["blueprint"]),
@@ -146,10 +161,9 @@ def ingest_questions(responses: DataFrame) -> DataFrame:
         r["correct_answer"],
         target,
     )
-    judged = parsed.withColumn("status", status).withColumn("errors", errors)
-    judged = judged.withColumn("check", F.when(F.col("status") == "OK", check))
+    found = found.withColumn("check", F.when(F.col("status") == "OK", check))
     good = (F.col("status") == "OK") & F.col("check").isNull()
-    return judged.select(
+    return found.select(
         *[c for c in responses.columns if c != "raw"],
         F.when(
             good,
@@ -167,26 +181,20 @@ def ingest_questions(responses: DataFrame) -> DataFrame:
     )
 
 
-def _sound_targets(targets: str) -> Column:
-    return F.forall(
-        targets,
+def _judged_plans(responses: DataFrame) -> DataFrame:
+    sound = F.forall(
+        "r.targets",
         lambda t: filled(t["topic"])
         & filled(t["factual_focus"])
         & refs_in_range(F.coalesce(t["evidence_refs"], F.array().cast("array<int>")), F.size("chunk_ids")),
     )
+    return judged(responses, PLAN, {"targets missing or unsound": F.coalesce(sound, F.lit(False))})
 
 
 def plan_statuses(responses: DataFrame) -> DataFrame:
     """One row per planning response, discarded ones too: scope, category, count, status, errors, targets kept."""
-    rules = {"targets missing or unsound": F.coalesce(_sound_targets("r.targets"), F.lit(False))}
-    status, errors = verdict_of(F.col("raw"), PLAN, rules)
     kept = F.when(F.col("status") == "OK", F.least(F.size("r.targets"), F.col("count"))).otherwise(0)
-    return (
-        responses.withColumn("r", parse(F.col("raw"), PLAN))
-        .select("scope", "category", "count", "r", status.alias("status"), errors.alias("errors"))
-        .withColumn("targets", kept)
-        .drop("r")
-    )
+    return _judged_plans(responses).select("scope", "category", "count", "status", "errors", kept.alias("targets"))
 
 
 def ingest_plans(responses: DataFrame) -> DataFrame:
@@ -195,13 +203,11 @@ def ingest_plans(responses: DataFrame) -> DataFrame:
     One bad reference discards all targets of its response; then at most ``count``
     are kept.  ``plan_statuses`` tells of the responses that leave no target.
     """
-    sound = _sound_targets("targets")
     return (
-        responses.withColumn("r", parse(F.col("raw"), PLAN))
-        .withColumn("targets", F.col("r.targets"))
-        .where(no_other_fields(F.col("raw"), PLAN) & as_typed(F.col("raw"), F.col("r")) & F.coalesce(sound, F.lit(False)))
+        _judged_plans(responses)
+        .where("status = 'OK'")
         .select(
-            "scope", "category", "chunk_ids", F.posexplode(F.slice("targets", F.lit(1), F.col("count"))).alias("i", "t")
+            "scope", "category", "chunk_ids", F.posexplode(F.slice("r.targets", F.lit(1), F.col("count"))).alias("i", "t")
         )
         .select(
             "scope",
@@ -229,14 +235,11 @@ def ingest_grounding(responses: DataFrame) -> DataFrame:
         "reason must not be blank": filled(r["reason"]),
         "confidence must be 0 to 1": unit_interval(r["confidence"]),
     }
-    status, errors = verdict_of(F.col("raw"), GROUNDING, rules)
     folded = F.when(
         F.col("status") == "OK", fold_assessments(r["answer_assessments"], "correct_answer", "chunk_ids")
     )
     return (
-        responses.withColumn("r", parse(F.col("raw"), GROUNDING))
-        .withColumn("status", status)
-        .withColumn("errors", errors)
+        judged(responses, GROUNDING, rules)
         .withColumn("f", folded)
         .select(
             *[c for c in responses.columns if c not in ("raw", "chunk_ids")],
@@ -254,8 +257,8 @@ def ingest_textbook(responses: DataFrame) -> DataFrame:
     """Secondary verdicts (raw, chunk_ids, pages); references are resolved as given, repeats included."""
     r = F.col("r")
     refs = F.coalesce(r["evidence_refs"], F.array().cast("array<int>"))
-    status, errors = verdict_of(
-        F.col("raw"),
+    found = judged(
+        responses,
         TEXTBOOK,
         {
             "status unknown": one_of(r["status"], TEXTBOOK_STATUSES),
@@ -264,41 +267,64 @@ def ingest_textbook(responses: DataFrame) -> DataFrame:
         },
     )
     good = F.col("status") == "OK"
-    return (
-        responses.withColumn("r", parse(F.col("raw"), TEXTBOOK))
-        .withColumn("status", status)
-        .withColumn("errors", errors)
-        .select(
-            *[c for c in responses.columns if c not in ("raw", "chunk_ids", "pages")],
-            "status",
-            "errors",
-            F.when(good, r["status"]).alias("textbook_status"),
-            F.when(good, resolve_refs(refs, "chunk_ids", distinct=False)).alias("evidence_chunk_ids"),
-            F.when(good, F.get("pages", F.get(refs, F.lit(0)) - 1)).alias("source_page"),
-        )
+    return found.select(
+        *[c for c in responses.columns if c not in ("raw", "chunk_ids", "pages")],
+        "status",
+        "errors",
+        F.when(good, r["status"]).alias("textbook_status"),
+        F.when(good, resolve_refs(refs, "chunk_ids", distinct=False)).alias("evidence_chunk_ids"),
+        F.when(good, F.get("pages", F.get(refs, F.lit(0)) - 1)).alias("source_page"),
     )
 
 
+def _verdict_rules(r: Column, schema: str) -> dict[str, Column]:
+    fields = StructType.fromDDL(schema)
+    flags = [f.name for f in fields if f.dataType.simpleString() == "boolean"]
+    texts = [f.name for f in fields if f.dataType.simpleString() == "string"]
+    blank = {f: filled(r[f]) | (r[f].isNull() if f in NULLABLE else F.lit(False)) for f in texts}
+    return {f"{f} missing": r[f].isNotNull() for f in flags} | {f"{f} must not be blank": rule for f, rule in blank.items()}
+
+
 def ingest_verdicts(responses: DataFrame) -> DataFrame:
     """Plain verdicts (raw and keys) by the contract of their ``check``: structure, category or quality.
 
-    Without a column ``check`` all are quality verdicts.  ``valid`` is null unless the status is OK.
+    Without a column ``check`` all are quality verdicts.  ``valid`` is null unless the status is OK.  A response is parsed once,
+    with the fields of all contracts; that of its check decides.
     """
     kind = F.col("check") if "check" in responses.columns else F.lit("quality")
-    raw = F.col("raw")
-    status = F.when(F.try_parse_json(raw).isNull(), "MALFORMED").otherwise("DOMAIN_INVALID")
-    errors, valid = F.array(F.lit("unknown check")), F.lit(None).cast("boolean")
+    fields = {f.split()[0]: f for schema in VERDICTS.values() for f in schema.split(", ")}
+    held = responses.withColumn("_v", F.try_parse_json("raw"))
+    held = held.withColumn("_r", _read(F.col("_v"), ", ".join(fields.values())))
+    broken = F.array(F.lit("unknown check"))
     for name, schema in VERDICTS.items():
-        r = parse(raw, schema)
-        flags = [f.split()[0] for f in schema.split(", ") if f.endswith("boolean")]
-        texts = [f.split()[0] for f in schema.split(", ") if f.endswith("string")]
-        rules = {f"{f} missing": r[f].isNotNull() for f in flags} | {f"{f} must not be blank": filled(r[f]) | (r[f].isNull() if f in NULLABLE else F.lit(False)) for f in texts}
-        its_status, its_errors = verdict_of(raw, schema, rules, r)
-        status = F.when(kind == name, its_status).otherwise(status)
-        errors = F.when(kind == name, its_errors).otherwise(errors)
-        valid = F.when((kind == name) & (its_status == "OK"), r["valid"]).otherwise(valid)
-    kept = [c for c in responses.columns if c != "raw"]
-    return responses.select(*kept, valid.alias("valid"), status.alias("status"), errors.alias("errors"))
+        its_own = failed_rules({**_contract(F.col("_v"), schema), **_verdict_rules(F.col("_r"), schema)})
+        broken = F.when(kind == name, its_own).otherwise(broken)
+    held = held.withColumn("errors", F.when(F.col("_v").isNull(), F.array(F.lit("not JSON"))).otherwise(broken))
+    held = held.withColumn("status", _status(F.col("_v"), F.col("errors")))
+    valid = F.when(F.col("status") == "OK", F.col("_r.valid"))
+    return held.select(*[c for c in responses.columns if c != "raw"], valid.alias("valid"), "status", "errors")
+
+
+def ingest_verdict_columns(responses: DataFrame, raw: dict[str, str]) -> DataFrame:
+    """The verdicts of several checks that stand beside each other: ``raw`` names the response column of each check.
+
+    Each response column gives way to a struct (valid, status, errors) named by its check.  Nothing is exploded or grouped.
+    """
+    held = responses
+    for name, column in raw.items():
+        schema = VERDICTS[name]
+        held = held.withColumn("_v", F.try_parse_json(column)).withColumn("_r", _read(F.col("_v"), schema))
+        broken = failed_rules({**_contract(F.col("_v"), schema), **_verdict_rules(F.col("_r"), schema)})
+        held = held.withColumn("_e", F.when(F.col("_v").isNull(), F.array(F.lit("not JSON"))).otherwise(broken))
+        status = _status(F.col("_v"), F.col("_e"))
+        verdict = F.struct(F.when(status == "OK", F.col("_r.valid")).alias("valid"), status.alias("status"), F.col("_e").alias("errors"))
+        held = held.withColumn(name, verdict).drop("_v", "_r", "_e", column)
+    return held
+
+
+def wide_verdicts(verdicts: DataFrame, key: list[str]) -> DataFrame:
+    """Long verdicts (key, check, valid) as one row per attempt with a column per check."""
+    return verdicts.groupBy(*key).agg(*[F.bool_and(F.when(F.col("check") == check, F.col("valid"))).alias(check) for check in VERDICTS])
 
 
 def assemble_attempts(
@@ -306,18 +332,15 @@ def assemble_attempts(
 ) -> DataFrame:
     """Attempt log from ingested candidates and their five verdicts.
 
-    ``verdicts`` is long (key, check, valid); a failed generation has no verdicts
-    and is not accepted.
+    ``verdicts`` is long (key, check, valid), or has a column (or struct with ``valid``) per check; a failed generation has
+    no verdicts and is not accepted.
     """
-    wide = verdicts.groupBy(*key).agg(
-        *[
-            F.bool_and(F.when(F.col("check") == check, F.col("valid"))).alias(name)
-            for check, name in (("structure", "mcq_valid"), ("category", "category_valid"), ("quality", "quality_valid"))
-        ]
-    )
+    wide = wide_verdicts(verdicts, key) if "check" in verdicts.columns else verdicts
+    names = (("structure", "mcq_valid"), ("category", "category_valid"), ("quality", "quality_valid"))
+    valid = [F.col(f"{c}.valid" if isinstance(wide.schema[c].dataType, StructType) else c).alias(name) for c, name in names]
     return (
         candidates.join(grounding.select(*key, "grounding_passed"), key, "left")
-        .join(wide, key, "left")
+        .join(wide.select(*key, *valid), key, "left")
         .join(textbook.select(*key, "textbook_status"), key, "left")
         .withColumn(
             "accepted",

@@ -125,10 +125,10 @@ support_t AS (
       WHEN kind = 2 AND (grounding_passed OR NOT mcq_valid) THEN 'evidence reference out of range' ELSE '' END AS errors
   FROM call_t),
 fold_t AS (
-  SELECT *, errors = '' AS good, list_distinct(list_concat(
+  SELECT *, errors = '' AS good, list_concat(
     CASE WHEN own OR other THEN ['chunk c'] ELSE [] END,
     list_concat(CASE WHEN (own AND correct_answer = 1) OR (other AND next = 1) THEN ['chunk a'] ELSE [] END,
-      CASE WHEN (own AND correct_answer <> 1) OR (other AND next <> 1) THEN ['chunk b'] ELSE [] END))) AS ids
+      CASE WHEN (own AND correct_answer <> 1) OR (other AND next <> 1) THEN ['chunk b'] ELSE [] END)) AS ids
   FROM support_t)
 """
 
@@ -148,19 +148,19 @@ def _textbook(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    named = [("structure", "mcq_valid"), ("category", "category_valid"), ("quality", "quality_valid")]
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(c).alias("valid")) for k, c in named]))
-    rows = _calls(spark, sf).select("position", "attempt_number", each.alias("v"))
-    check, yes = F.col("v.check"), F.lit(True)
-    raw = F.to_json(
-        F.struct(
-            F.col("v.valid").alias("valid"),
-            *[F.when(check == "structure", yes).alias(c) for c in ("exactly_four_answers", "single_best_answer")],
-            *[F.when(check == "category", F.lit("c")).alias(c) for c in ("requested_category", "assessed_category")],
-            F.lit("because").alias("reason"),
-        )
-    )
-    return responses.ingest_verdicts(rows.select("position", "attempt_number", "v.check", raw.alias("raw")))
+    """The responses of three checks per attempt, as columns."""
+    yes, because = F.lit(True), F.lit("because").alias("reason")
+
+    def response(flag: str, *more):
+        return F.to_json(F.struct(F.col(flag).alias("valid"), *more, because))
+
+    four = [yes.alias(c) for c in ("exactly_four_answers", "single_best_answer")]
+    named = [F.lit("c").alias(c) for c in ("requested_category", "assessed_category")]
+    rows = _calls(spark, sf).select(
+        "position", "attempt_number",
+        response("mcq_valid", *four).alias("a"), response("category_valid", *named).alias("b"), response("quality_valid").alias("c"),
+    )
+    return responses.ingest_verdict_columns(rows, {"structure": "a", "category": "b", "quality": "c"})
 
 
 def _assembled(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,14 +218,12 @@ def _planning_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _checked_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark passages as candidate questions."""
+    """Benchmark passages as candidate questions, answered by themselves in lower case."""
     return t.read(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"),
         F.lit("passage").alias("category"),
-        F.substring("text", 1, 60).alias("question"),
-        F.array(
-            F.substring("text", 61, 40), F.lit("1. first"), F.substring("text", 1, 5), F.concat("item_id", F.lit(") x"))
-        ).alias("answers"),
+        F.col("text").alias("question"),
+        F.array(F.lower("text"), F.lit("1. first"), F.concat(F.lit("not "), "text"), F.concat("item_id", F.lit(") x"))).alias("answers"),
         F.lit(1).alias("correct_answer"),
         F.lit("INDEPENDENT").alias("generation_mode"),
     )
@@ -246,24 +244,23 @@ def _text_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _plan_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """One planning response per benchmark query, naming the words of its text."""
-    words = F.slice(F.split("text", " "), 1, 6)
+    """One planning response per benchmark query, naming the words of its text; every fifth is cut off."""
     plan = F.transform(
-        words,
+        F.split("text", " "),
         lambda w, i: F.struct(
             w.alias("topic"),
             F.concat(F.lit("about "), w).alias("factual_focus"),
             F.array(i % 3 + 1, F.when(F.col("item_id") % 4 == 0, i + 1).otherwise(i % 3 + 1)).alias("evidence_refs"),
         ),
     )
-    rows = t.read(spark, sf, "benchmark").select(
+    body = F.to_json(F.struct(plan.alias("targets")))
+    return t.read(spark, sf, "benchmark").select(
         F.col("item_id").alias("scope"),
         F.lit("passage").alias("category"),
         F.lit(4).alias("count"),
         F.array(*map(F.lit, CHUNK_IDS)).alias("chunk_ids"),
-        F.to_json(F.struct(plan.alias("targets"))).alias("raw"),
+        F.when(F.col("item_id") % 5 == 0, F.substring(body, F.lit(1), F.length(body) - 2)).otherwise(body).alias("raw"),
     )
-    return responses.ingest_plans(rows).withColumn("own_chunks", F.array_join("own_chunks", ","))
 
 
 QUERIES = {
@@ -283,7 +280,7 @@ QUERIES = {
         F.array_join("errors", "; ").alias("errors"),
         "correct_answer_supported",
         "other_answers_not_equally_correct",
-        F.array_join(F.array_sort("evidence_chunk_ids"), ",").alias("evidence"),
+        F.array_join("evidence_chunk_ids", ",").alias("evidence"),
         "grounding_passed",
     ),
     "ingested_textbook": lambda s, f: _textbook(s, f).select(
@@ -295,7 +292,8 @@ QUERIES = {
         "source_page",
     ),
     "assembled_attempts": _assembled,
-    "ingested_plans": _plan_responses,
+    "ingested_plans": lambda s, f: responses.ingest_plans(_plan_responses(s, f)).withColumn("own_chunks", F.array_join("own_chunks", ",")),
+    "plan_statuses": lambda s, f: responses.plan_statuses(_plan_responses(s, f)).withColumn("errors", F.array_join("errors", "; ")),
     "evidence_blocks": _evidence_blocks,
     "generation_prompts": _generation_prompts,
     "planning_prompts": _planning_prompts,
@@ -306,12 +304,12 @@ QUERIES = {
     ),
 }
 
-_CANDIDATE = """'Question: ' || substr(text, 1, 60) || chr(10) || 'Answer 1: ' || substr(text, 61, 40) || chr(10)
-  || 'Answer 2: 1. first' || chr(10) || 'Answer 3: ' || substr(text, 1, 5) || chr(10) || 'Answer 4: ' || item_id || ') x'
+_CANDIDATE = """'Question: ' || text || chr(10) || 'Answer 1: ' || lower(text) || chr(10)
+  || 'Answer 2: 1. first' || chr(10) || 'Answer 3: not ' || text || chr(10) || 'Answer 4: ' || item_id || ') x'
   || chr(10) || 'Intended correct answer: 1' || chr(10) || 'Category: passage' || chr(10) || 'Mode: INDEPENDENT'"""
 _SECOND = SEARCH.replace("source_type = 'PRIMARY'", "source_type = 'SECONDARY'").replace(
     "FROM benchmark)", "FROM checked_t)"
-).replace("query_tf AS (", """checked_t AS (SELECT item_id, 'passage ' || substr(text, 1, 60) || ' ' || substr(text, 61, 40)
+).replace("query_tf AS (", """checked_t AS (SELECT item_id, 'passage ' || text || ' ' || lower(text)
     AS text FROM benchmark),
 query_tf AS (""")
 _RULES = {
@@ -372,7 +370,7 @@ ORACLES = {
     "ingested_grounding": f"""WITH {_CALLS}, {_GROUNDING}
       SELECT position, attempt_number, CASE WHEN good THEN 'OK' ELSE 'DOMAIN_INVALID' END AS status, errors,
         CASE WHEN good THEN own END AS correct_answer_supported, CASE WHEN good THEN NOT other END AS other_answers_not_equally_correct,
-        CASE WHEN good THEN array_to_string(list_sort(ids), ',') END AS evidence,
+        CASE WHEN good THEN array_to_string(ids, ',') END AS evidence,
         CASE WHEN good THEN own AND NOT other END AS grounding_passed FROM fold_t""",
     "ingested_textbook": f"""WITH {_CALLS} SELECT position, attempt_number,
       CASE WHEN kind = 0 THEN 'DOMAIN_INVALID' ELSE 'OK' END AS status,
@@ -383,10 +381,15 @@ ORACLES = {
       SELECT position, attempt_number, failure_type, failure_type IS NULL AND good AND own AND NOT other AND mcq_valid
         AND category_valid AND quality_valid AND kind <> 0 AND textbook_status <> 'POTENTIAL_CONFLICT' AS accepted
       FROM fold_t""",
-    "ingested_plans": """WITH w AS (SELECT item_id, string_split(text, ' ')[1:6] AS words FROM benchmark)
+    "ingested_plans": """WITH w AS (SELECT item_id, string_split(text, ' ') AS words FROM benchmark WHERE item_id % 5 <> 0)
       SELECT item_id AS scope, 'passage' AS category, i AS target_id, words[i] AS topic, 'about ' || words[i] AS factual_focus,
         CASE WHEN item_id % 4 = 0 AND i > 3 THEN NULL ELSE ['chunk a', 'chunk b', 'chunk c'][(i - 1) % 3 + 1] END AS own_chunks
       FROM (SELECT *, unnest(generate_series(1, least(len(words), 4))) AS i FROM w) WHERE item_id % 4 <> 0 OR len(words) <= 3""",
+    "plan_statuses": """SELECT item_id AS scope, 'passage' AS category, 4 AS count,
+        CASE WHEN item_id % 5 = 0 THEN 'MALFORMED' WHEN bad THEN 'DOMAIN_INVALID' ELSE 'OK' END AS status,
+        CASE WHEN item_id % 5 = 0 THEN 'not JSON' WHEN bad THEN 'targets missing or unsound' ELSE '' END AS errors,
+        CASE WHEN item_id % 5 = 0 OR bad THEN 0 ELSE least(n, 4) END AS targets
+      FROM (SELECT item_id, len(string_split(text, ' ')) AS n, item_id % 4 = 0 AND n > 3 AS bad FROM benchmark)""",
     "evidence_blocks": f"WITH RECURSIVE {SEARCH}, {_BLOCK} SELECT scope, block FROM block_t",
     "generation_prompts": _G,
     "planning_prompts": f"""WITH RECURSIVE {SEARCH}, {_BLOCK}, covered_t AS ({_COVERED})

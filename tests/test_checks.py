@@ -156,3 +156,46 @@ def test_plan_statuses_count_every_response(spark):
     got = responses.plan_statuses(df).orderBy("scope").collect()
     assert [(r.status, r.targets) for r in got] == [("OK", 1), ("DOMAIN_INVALID", 0), ("MALFORMED", 0)]
     assert responses.ingest_plans(df).count() == 1
+
+
+def test_contract_shapes(spark):
+    """Fields in any order, absent and null ones, numbers too large for their type, keys that imitate a schema."""
+    part = '{"answer_index": %s, "supported_as_correct": true, "evidence_refs": [1], "reason": "r"}'
+    whole = '{"reason": "r", %s"answer_assessments": [%s], "grounded": true, "confidence": %s}'
+    four = ", ".join(part % i for i in (4, 2, 3, 1))
+    raw = [
+        whole % ("", four, "1"),
+        whole % ("", four, "0.25"),
+        whole % ("", four, "1e-3"),
+        whole % ('"evidence_text": null, ', four, "0"),
+        whole % ('"evidence_text": "t", ', four, "0"),
+        whole % ('"evidence_text": 3, ', four, "0"),
+        whole % ("", four, '"1"'),
+        whole % ("", four, "null"),
+        whole % ("", four.replace('"reason": "r"', '"reason": null', 1), "1"),
+        whole % ("", four.replace("4", "4.0", 1), "1"),
+        whole % ("", four.replace("4", "4294967300", 1), "1"),
+        whole % ("", four.replace("[1]", "[]", 1), "1"),
+        whole % ("", four + ", null", "1"),
+        whole % ('"a: STRING, grounded": true, ', four, "1"),
+        "null",
+        '"text"',
+        "",
+        None,
+    ]
+    df = spark.createDataFrame([(i, r, ["x"], 1) for i, r in enumerate(raw)], "i int, raw string, chunk_ids array<string>, correct_answer int")
+    got = [r.status for r in responses.ingest_grounding(df).orderBy("i").collect()]
+    ok, bad, mal = "OK", "DOMAIN_INVALID", "MALFORMED"
+    assert got == [ok] * 5 + [bad] * 6 + [ok] + [bad] * 4 + [mal] * 2
+
+
+def test_verdict_columns_are_the_long_verdicts(spark):
+    good, cut = '{"valid": true, "reason": "r"}', '{"valid": true'
+    full = '{"valid": true, "exactly_four_answers": true, "single_best_answer": true, "reason": "r"}'
+    rows = [(1, full, good), (2, good, good), (3, full, cut), (4, None, '{"valid": false, "reason": "r"}')]
+    df = spark.createDataFrame(rows, "k int, s string, q string")
+    wide = responses.ingest_verdict_columns(df, {"structure": "s", "quality": "q"})
+    assert wide.columns == ["k", "structure", "quality"]
+    got = {(r.k, c, r[c].status, r[c].valid, tuple(r[c].errors)) for r in wide.collect() for c in ("structure", "quality")}
+    long = df.selectExpr("k", "stack(2, 'structure', s, 'quality', q) as (check, raw)")
+    assert got == {(r.k, r.check, r.status, r.valid, tuple(r.errors)) for r in responses.ingest_verdicts(long).collect()}
