@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from evidence_spark.functions.text import normalize
+from evidence_spark.operators.graph import connected
 from evidence_spark.operators.numbering import number_within
 from evidence_spark.sources.tables import write_table
 
+# The batch function below travels to the workers itself; they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_ATTEMPTS = 3
 MAX_REPLACEMENTS = 2
 
@@ -47,6 +57,56 @@ def outcomes(attempts: DataFrame, key: str = "position") -> DataFrame:
     )
 
 
+def _fates(candidates: DataFrame, existing: DataFrame | None, last_try: int) -> DataFrame:
+    """The tries with ``norm`` and ``fate``: ``new`` or ``duplicate`` where that can be told at once, else ``open``.
+
+    A text that exists already is a duplicate.  If its first place is a first try it was certainly produced there, so that every
+    later place is a duplicate; if it has one place it is new.  Only texts that first occur in a replacement are open: nobody knows
+    yet whether that try was made.
+    """
+    tries = candidates.where(F.col("try_no") <= last_try).withColumn("norm", normalize("question"))
+    place = F.struct("position", "try_no")
+    texts = tries.groupBy("category", "norm").agg(F.min(place).alias("_first"), F.count("*").alias("_places"))
+    if existing is None:
+        texts = texts.withColumn("_known", F.col("norm").isNull())
+    else:
+        known = existing.select("category", normalize("question").alias("norm"), F.lit(True).alias("_known")).distinct()
+        texts = texts.join(known, ["category", "norm"], "left").withColumn("_known", F.coalesce("_known", F.col("norm").isNull()))
+    texts = texts.withColumnsRenamed({"category": "_category", "norm": "_norm"})
+    same = tries["category"].eqNullSafe(texts["_category"]) & tries["norm"].eqNullSafe(texts["_norm"])
+    fate = (
+        F.when(F.col("_known"), "duplicate")
+        .when(F.col("_places") == 1, "new")
+        .when(F.col("_first.try_no") > 1, "open")
+        .when(place == F.col("_first"), "new")
+        .otherwise("duplicate")
+    )
+    return tries.join(texts, same).withColumn("fate", fate).drop("_category", "_norm", "_first", "_places", "_known")
+
+
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tries sorted by component, category, position and try: an open text is new where it is first made."""
+    component = place = None
+    seen: set = set()
+    ended = False
+    for batch in batches:
+        made, duplicate = [], []
+        columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_component", "category", "position", "norm", "fate"))
+        for group, category, position, norm, fate in zip(*columns, strict=True):
+            if group != component:
+                component, seen = group, set()
+            if (group, category, position) != place:
+                place, ended = (group, category, position), False
+            made.append(not ended)
+            repeated = fate == "duplicate" or (fate == "open" and (category, norm) in seen)
+            duplicate.append(repeated)
+            if not ended and not repeated:
+                ended = True
+                if fate == "open":
+                    seen.add((category, norm))
+        yield batch.append_column("duplicate", pa.array(duplicate, pa.bool_())).filter(pa.array(made, pa.bool_()))
+
+
 def control_duplicates(
     candidates: DataFrame, existing: DataFrame | None = None, max_replacements: int = MAX_REPLACEMENTS
 ) -> tuple[DataFrame, DataFrame]:
@@ -57,30 +117,18 @@ def control_duplicates(
     ``max_replacements + 1``: later tries are not made and leave their texts to later
     positions.  Returns the flagged candidates that were made and one row per position.
 
-    First occurrences are found by an aggregate and joined back, so a text repeated
-    very often does not gather in one task.  Where a log goes on behind a new text,
-    those tries are taken away and the rest is judged again until none is left.
+    Most texts are settled by aggregates, those that very many positions share among them.  Positions that share one of the
+    open texts form a graph; each of its components is walked once, in order, and holds the open texts that it has
+    seen.  Components are walked in parallel, and the number of jobs does not depend on how far one position waits for another.
     """
-    texts = candidates.where(F.col("try_no") <= max_replacements + 1).withColumn("norm", normalize("question"))
-    place = F.struct("position", "try_no")
-    known = None
-    if existing is not None:
-        known = existing.select("category", normalize("question").alias("norm")).distinct()
-    while True:
-        first = texts.groupBy("category", "norm").agg(F.min(place).alias("_first"))
-        if known is not None:
-            first = first.join(known, ["category", "norm"], "left_anti")
-        judged = texts.join(first, ["category", "norm"], "left").withColumn(
-            "duplicate", ~F.coalesce(place == F.col("_first"), F.lit(False))
-        )
-        ends = judged.where(~F.col("duplicate")).groupBy("category", "position").agg(F.min("try_no").alias("_end"))
-        behind = texts.join(ends, ["category", "position"]).where(F.col("try_no") > F.col("_end"))
-        if behind.isEmpty():
-            break
-        made = texts.join(ends, ["category", "position"], "left")
-        made = made.where(F.col("_end").isNull() | (F.col("try_no") <= F.col("_end"))).select(*texts.columns)
-        texts = write_table(made, "tries")
-    flagged = judged.drop("_first", "norm")
+    tries = write_table(_fates(candidates, existing, max_replacements + 1), "tries")
+    own = F.xxhash64(F.lit("position"), "category", "position")
+    opened = tries.where("fate = 'open'").select(own.alias("a"), F.xxhash64(F.lit("text"), "category", "norm").alias("b"))
+    groups = connected(opened).withColumnsRenamed({"node": "_own", "component": "_component"})
+    placed = tries.withColumn("_own", own).join(groups, "_own", "left").withColumn("_component", F.coalesce("_component", "_own")).drop("_own")
+    ordered = placed.repartition("_component").sortWithinPartitions("_component", "category", "position", "try_no", "norm")
+    schema = StructType([*ordered.schema.fields, StructField("duplicate", BooleanType())])
+    flagged = write_table(ordered.mapInArrow(_in_turn, schema).drop("_component", "fate", "norm"), "made")
     positions = (
         flagged.groupBy("category", "position")
         .agg(

@@ -281,6 +281,17 @@ def _duplicates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return acceptance.control_duplicates(made, existing, max_replacements=0)
 
 
+def _replacements(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Tries of a part: its type, its size and its name, which parts of a brand share; those of some sizes exist already, and a fourth try is over the budget."""
+    part = t.read(spark, sf, "part")
+    texts = F.array(F.concat(F.lit("In  "), "p_type"), F.concat(F.lit("size "), "p_size"), F.concat(F.lit("Of "), "p_name"), F.concat(F.lit("by "), "p_brand"))
+    made = part.select(
+        F.col("p_brand").alias("category"), F.col("p_partkey").alias("position"), F.posexplode(texts).alias("try_no", "question")
+    ).withColumn("try_no", F.col("try_no") + 1)
+    existing = part.where("p_size % 7 = 1").select(F.col("p_brand").alias("category"), F.concat(F.lit(" OF "), "p_name").alias("question"))
+    return acceptance.control_duplicates(made, existing, max_replacements=2)
+
+
 def _logs(spark: SparkSession, sf: str) -> DataFrame:
     """Experiment logs of three shapes, one per order, and what their attempts are."""
     log = attempts(spark, sf)
@@ -434,6 +445,8 @@ QUERIES = {
     "style_references": _style,
     "duplicate_candidates": lambda s, f: _duplicates(s, f)[0].select("category", "position", "question", "duplicate"),
     "duplicate_positions": lambda s, f: _duplicates(s, f)[1],
+    "replaced_candidates": lambda s, f: _replacements(s, f)[0],
+    "replacement_budget": lambda s, f: _replacements(s, f)[1],
     "experiment_attempts": lambda s, f: experiments.attempts_from_records(_logs(s, f)),
     "question_shapes": lambda s, f: shaped(s, f).groupBy("shape", "strategy").agg(F.count("*").alias("n")),
     "strategy_counts": lambda s, f: analysis.strategy_counts(shaped(s, f).withColumnRenamed("category", "target_group")),
@@ -589,3 +602,27 @@ ORACLES = {
 }
 ORACLES["duplicate_positions"] = f"""WITH d AS ({ORACLES['duplicate_candidates']})
   SELECT category, position, NOT duplicate AS accepted, duplicate::INT AS duplicates, duplicate AS exhausted FROM d"""
+_TURNS = """WITH RECURSIVE try_t AS (
+  SELECT p_brand AS category, p_partkey AS position, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place, p_name, p_size, p_type
+  FROM part),
+text_t AS (
+  SELECT category, position, (place - 1) * 3 + try_no AS step, try_no,
+    CASE try_no WHEN 1 THEN 'In  ' || p_type WHEN 2 THEN 'size ' || p_size ELSE 'Of ' || p_name END AS question
+  FROM try_t, (SELECT unnest([1, 2, 3]) AS try_no)),
+known_t AS (SELECT p_brand AS category, list(DISTINCT 'of ' || lower(p_name)) AS seen FROM part WHERE p_size % 7 = 1 GROUP BY p_brand),
+walk_t AS (
+  SELECT DISTINCT t.category, 0::BIGINT AS step, coalesce(k.seen, []) AS seen, NULL::BIGINT AS position, 0 AS try_no, NULL::VARCHAR AS question,
+    false AS made, false AS ended, false AS duplicate
+  FROM text_t t LEFT JOIN known_t k USING (category)
+  UNION ALL
+  SELECT category, step, CASE WHEN made AND NOT duplicate THEN list_append(seen, norm) ELSE seen END, position, try_no, question,
+    made, NOT (made AND duplicate), duplicate
+  FROM (
+    SELECT w.category, x.step, w.seen, x.position, x.try_no, x.question, lower(replace(x.question, '  ', ' ')) AS norm,
+      x.try_no = 1 OR NOT w.ended AS made, list_contains(w.seen, lower(replace(x.question, '  ', ' '))) AS duplicate
+    FROM walk_t w JOIN text_t x ON x.category = w.category AND x.step = w.step + 1))
+"""
+ORACLES["replaced_candidates"] = f"{_TURNS} SELECT category, position, try_no, question, duplicate FROM walk_t WHERE made"
+ORACLES["replacement_budget"] = f"""{_TURNS} SELECT category, position, bool_or(NOT duplicate) AS accepted,
+    count(*) FILTER (duplicate) AS duplicates, count(*) FILTER (duplicate) > 2 AND NOT bool_or(NOT duplicate) AS exhausted
+  FROM walk_t WHERE made GROUP BY ALL"""

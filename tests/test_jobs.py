@@ -1,6 +1,7 @@
 """Sources, plans, acceptance, audits, metrics and experiment logs on small hand-made tables."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,45 @@ def test_duplicate_budget_in_turn(spark):
     assert got[2] == (False, 3) and got[3] == (True, 0)
 
 
+def test_long_chains_of_replacements_take_no_more_rounds(spark, monkeypatch):
+    """Every position waits for the one before it; the tables written do not grow with the chain."""
+    from evidence_spark.operators import graph
+
+    rng = random.Random(6)
+    written = []
+    for module in (acceptance, graph):
+        real = module.write_table
+        monkeypatch.setattr(module, "write_table", lambda df, name, real=real: written.append(name) or real(df, name))
+    counts = {}
+    for n in (8, 64):
+        chain = [(1, 1, "old"), (1, 2, "t1")] + [(i, k, f"t{i - 2 + k}") for i in range(2, n) for k in (1, 2)]
+        chain += [(n + i, k, f"t{rng.randrange(n // 2)}") for i in range(20) for k in (1, 2, 3, 4)]
+        made = spark.createDataFrame([(c, *r) for r in chain for c in ("k", None)], "category string, position long, try_no int, question string")
+        existing = spark.createDataFrame([("k", "old"), (None, "old")], "category string, question string")
+        written.clear()
+        _, positions = acceptance.control_duplicates(made, existing if n == 8 else existing.where("category = 'k'"), max_replacements=2)
+        got = {r.position: (r.accepted, r.duplicates) for r in positions.where("category = 'k'").collect()}
+        assert got == _in_turn(chain, {"old"}, 2)
+        assert positions.count() == 2 * len(got)
+        counts[n] = len(written)
+    assert counts[64] <= counts[8] + 12
+
+
+def test_components(spark):
+    from evidence_spark.operators.graph import connected
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(900, 900), (500, 501), (501, 500), (-5, 500)]
+    edges += [(1000, x) for x in range(1001, 1100)]
+    least = {x: x for e in edges for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    found = {r.node: r.component for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == least
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_requests_keep_what_cannot_be_read(spark, tmp_path):
     from evidence_spark.sources import requests
 
