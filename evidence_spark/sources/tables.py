@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SETTING = "spark.checkpoint.dir"
 DEFAULT_BROADCAST_ROWS = 500_000
+#: Lists that note the paths of tables as they are written; see ``noted_tables``.
+_notes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,11 +30,34 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     run = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
     path = f"{run}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    for note in _notes:
+        note.append(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def noted_tables() -> Iterator[list[str]]:
+    """The paths of the tables that are written meanwhile."""
+    note: list[str] = []
+    _notes.append(note)
+    try:
+        yield note
+    finally:
+        _notes[:] = [n for n in _notes if n is not note]
+
+
+def drop_tables(spark: SparkSession, paths: list[str], unless: DataFrame | None = None) -> list[str]:
+    """Delete written tables that are no longer needed, but for those that ``unless`` reads; returns what stays."""
+    read = unless.inputFiles() if unless is not None else []
+    stays = [p for p in paths if any(p.rsplit("/", 1)[-1] in file for file in read)]
+    for path in set(paths) - set(stays):
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return stays
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Size check before a broadcast; never counts past the bound."""
     return df.limit(rows + 1).count() <= rows

@@ -1,6 +1,7 @@
 """Unicode text helpers against Python's own string methods."""
 
 import unicodedata
+from pathlib import Path
 
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -75,3 +76,18 @@ def test_spans_cover_the_text(spark):
     for row, value in zip(run(spark, values, lambda c: spans_of.spans(c, 50, 12)), values):
         assert row[0].first == 0 and row[-1].last == len(value)
         assert all(b.first <= a.last and b.first > a.first for a, b in zip(row, row[1:]))
+
+
+def test_written_tables_are_noted_and_dropped(spark):
+    from evidence_spark.sources.tables import drop_tables, noted_tables, write_table
+
+    with noted_tables() as outer:
+        first = write_table(spark.range(3).toDF("a"), "first")
+        with noted_tables() as inner:
+            second = write_table(spark.range(4).toDF("a"), "second")
+    write_table(spark.range(1).toDF("a"), "third")
+    assert len(outer) == 2 and len(inner) == 1 and set(inner) < set(outer)
+    assert drop_tables(spark, outer, second) == inner
+    assert second.count() == 4
+    assert not any(Path(f.removeprefix("file://")).exists() for f in first.inputFiles())
+    assert drop_tables(spark, inner) == []
