@@ -3,15 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidence_spark.llm import exact_dedup, language, mixing, packing, simhash
 from evidence_spark.llm.common import documents, with_row_key
 from evidence_spark.llm.queries import VOCABULARY
-from evidence_spark.sources.tables import write_table
+from evidence_spark.sources.tables import drop_tables, noted_tables, write_table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables that the stage before wrote on its way.
+_spent: list[str] = []
 
+
+def _in_turn(stage: Stage) -> Stage:
+    """A stage is called when the one before it has been written and reread: what that one wrote on its way goes, unless
+    ``docs`` still reads it."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        stays = drop_tables(spark, _spent, docs)
+        with noted_tables() as note:
+            result = stage(spark, docs, sf_dir)
+        _spent[:] = [*stays, *note]
+        return result
+
+    return run_stage
+
+
+@_in_turn
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter: only a text that is null or has none goes.
 
@@ -33,6 +53,7 @@ def _chosen(rows: DataFrame, groups: DataFrame, best: Column, columns: list[str]
     return rows.join(stays, "_row", "left_semi").select(*columns)
 
 
+@_in_turn
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, that of the largest doc_id (none is smallest)."""
     rows = with_row_key(docs)
@@ -40,6 +61,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _chosen(rows, groups, F.max(F.struct(F.col("doc_id").cast("long").alias("id"), "_row")), docs.columns)
 
 
+@_in_turn
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked fingerprints, that of the smallest doc_id (none is largest)."""
     rows = with_row_key(docs)
@@ -48,6 +70,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _chosen(rows, groups, F.min(F.struct(number.isNull().alias("none"), number.alias("id"), "_row")), docs.columns)
 
 
+@_in_turn
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as the mix takes them: a row per pass over a document, with the words that it takes."""
     rows = with_row_key(docs)
@@ -57,12 +80,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.select(*docs.columns)
 
 
+@_in_turn
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the mixed documents with their places in the token sequences."""
     return packing.pack(docs, VOCABULARY)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
     ("exact_dedup", exact_copies),
     ("simhash_near_dedup", near_copies),
