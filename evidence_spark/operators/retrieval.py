@@ -18,22 +18,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from evidence_spark.functions.ngrams import count_ngrams
 from evidence_spark.functions.text import is_blank
 from evidence_spark.operators.categories import resolve_categories
-from evidence_spark.operators.chunking import CHUNK_KEY, foreign_source_types
-from evidence_spark.sources.tables import (
-    DEFAULT_BROADCAST_ROWS,
-    broadcast_checked,
-    has_at_most,
-    task_count,
-    write_table,
-)
+from evidence_spark.operators.chunking import CHUNK_KEY, duplicate_chunk_ids, foreign_source_types
+from evidence_spark.sources.tables import broadcast_checked, has_at_most, task_count, write_table
 
 # Scores at or below this are rounding noise around "nothing in common".
 ZERO_SCORE = 1e-9
 # Scores are compared at this precision, so that summation order cannot decide a rank.
 SCORE_DIGITS = 9
-# A gram found in at least one of so many chunks counts as common.  Chunks are
-# bounded, so the common grams number at most COMMON_SHARE x grams per chunk.
-COMMON_SHARE = 100
 # Queries scored together, and the bytes their dense block may take in a Python worker.
 QUERY_BLOCK = 256
 BLOCK_BYTES = 64 << 20
@@ -69,103 +60,91 @@ def number_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def term_counts(numbered: DataFrame, n_min: int = 3, n_max: int = 5, tasks: int | None = None) -> DataFrame:
-    """One row per chunk: its grams with their counts.
+    """One row per chunk (part, chunk_no, terms): its grams with their counts.
 
-    The chunk texts are spread by ``chunk_no`` first.  That one exchange of short
+    The chunk texts are spread by ``chunk_no`` first, and ``part`` is the task that counts them.  That one exchange of short
     texts serves every later aggregation by chunk, so the far larger gram rows are
     not shuffled.  The number of tasks is explicit because adaptive coalescing
     would judge by the size of the texts.
     """
     spread = numbered.select("chunk_no", "text").repartition(task_count(numbered.sparkSession, tasks), "chunk_no")
     counts = count_ngrams(spread, "text", ["chunk_no"], n_min, n_max)
-    return counts.groupBy("chunk_no").agg(F.collect_list(F.struct("gram", "tf")).alias("terms"))
+    terms = counts.groupBy("chunk_no").agg(F.collect_list(F.struct("gram", "tf")).alias("terms"))
+    return terms.select(F.spark_partition_id().alias("part"), "chunk_no", "terms")
+
+
+def part_counts(terms: DataFrame) -> DataFrame:
+    """(part, gram, n): in how many chunks of a part a gram occurs.  A gram has a row per part at most, however common."""
+    return terms.select("part", F.explode("terms.gram").alias("gram")).groupBy("part", "gram").agg(F.count("*").alias("n"))
 
 
 def smoothed_idf(df: Column, total: Column) -> Column:
     return F.log((1 + total) / (1 + df)) + 1
 
 
-def vocabulary(terms: DataFrame, n_chunks: int) -> DataFrame:
-    """Document frequency and smoothed idf per gram."""
+def vocabulary(counts: DataFrame, n_chunks: int) -> DataFrame:
+    """Document frequency and smoothed idf per gram, from the counts of the parts."""
     return (
-        terms.select(F.explode("terms.gram").alias("gram"))
-        .groupBy("gram")
-        .agg(F.count("*").alias("df"))
+        counts.groupBy("gram")
+        .agg(F.sum("n").alias("df"))
         .select(
             F.monotonically_increasing_id().alias("gram_no"),
             "gram",
             "df",
             smoothed_idf(F.col("df"), F.lit(n_chunks)).alias("idf"),
-            (F.col("df") * COMMON_SHARE >= n_chunks).alias("common"),
         )
     )
 
 
-def weigh(terms: DataFrame, vocab: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """One row per chunk: gram numbers and tf-idf weights of unit length."""
-    idf = vocab.select("gram", "gram_no", "idf")
-    if has_at_most(idf, broadcast_rows):
-        return _weigh_streamed(terms, idf)
-    return _weigh_joined(terms, vocab, broadcast_rows)
-
-
-def _weigh_streamed(terms: DataFrame, idf: DataFrame) -> DataFrame:
-    """With a vocabulary of a checked size, rows are weighed where they are: no shuffle, no sort."""
-    table = idf.toArrow().combine_chunks()
-    shared = terms.sparkSession.sparkContext.broadcast(
-        (table["gram"].combine_chunks(), table["gram_no"].to_numpy(), table["idf"].to_numpy())
-    )
+def _weigher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One part: the grams that it holds, then its chunks."""
+    held: list[pa.RecordBatch] = []
+    known = None
+    for batch in batches:
+        cut = batch.column(1).null_count  # chunks come behind the grams
+        if cut:
+            held.append(batch.slice(0, cut).select(["gram", "gram_no", "idf"]))
+        chunks = batch.slice(cut)
+        if not len(chunks):
+            continue
+        if known is None:
+            table = pa.Table.from_batches(held).combine_chunks()
+            known, held = (table["gram"].combine_chunks(), table["gram_no"].to_numpy(), table["idf"].to_numpy()), []
+        names, numbers, idf = known
+        grams, tf = chunks.column(5), chunks.column(6)
+        ends = grams.offsets.to_numpy()
+        places = pc.index_in(grams.flatten(), value_set=names).to_numpy()
+        weights = tf.flatten().to_numpy() * idf[places]
+        lengths = np.sqrt(np.add.reduceat(weights * weights, ends[:-1] - ends[0]))
+        offsets = pa.array(ends - ends[0], pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [
+                chunks.column(1),
+                pa.ListArray.from_arrays(offsets, pa.array(numbers[places])),
+                pa.ListArray.from_arrays(offsets, pa.array(weights / np.repeat(lengths, np.diff(ends)))),
+            ],
+            names=["chunk_no", "grams", "weights"],
+        )
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, numbers, idf_of = shared.value
-        for batch in batches:
-            grams, tf = batch.column(1), batch.column(2)
-            ends = grams.offsets.to_numpy()
-            places = pc.index_in(grams.flatten(), value_set=known).to_numpy()
-            weights = tf.flatten().to_numpy() * idf_of[places]
-            starts = ends[:-1] - ends[0]
-            lengths = np.sqrt(np.add.reduceat(weights * weights, starts)) if len(weights) else np.zeros(0)
-            weights = weights / np.repeat(lengths, np.diff(ends))
-            offsets = pa.array(ends - ends[0], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.ListArray.from_arrays(offsets, pa.array(numbers[places])),
-                    pa.ListArray.from_arrays(offsets, pa.array(weights)),
-                ],
-                names=["chunk_no", "grams", "weights"],
-            )
 
-    flat = terms.select("chunk_no", F.col("terms.gram").alias("grams"), F.col("terms.tf").alias("tf"))
-    return flat.where(F.size("grams") > 0).mapInArrow(scan, "chunk_no long, grams array<long>, weights array<double>")
+def weigh(terms: DataFrame, counts: DataFrame, vocab: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One row per chunk: gram numbers and tf-idf weights of unit length.
 
+    The vocabulary is brought to the chunks, as much of it as each part holds: ``counts`` asks for a gram once per part, so that
+    no gram is a hot key, and the answers meet the part's chunks in one task.  The rows of single grams
+    are not shuffled, nothing goes through the driver, and every vocabulary takes the same path.
+    """
+    answers = counts.select("part", "gram").join(vocab.select("gram", "gram_no", "idf"), "gram")
+    flat = terms.select("part", "chunk_no", F.col("terms.gram").alias("grams"), F.col("terms.tf").alias("tf")).where(F.size("grams") > 0)
 
-def _weigh_joined(terms: DataFrame, vocab: DataFrame, broadcast_rows: int) -> DataFrame:
-    """With a large vocabulary only the common grams are broadcast.
+    def missing(frame: DataFrame, *columns: str) -> list[Column]:
+        return [F.lit(None).cast(frame.schema[c].dataType).alias(c) for c in columns]
 
-    Their number is bounded and they cover most rows.  The other grams meet their
-    idf in a shuffled join in which no key can be hot.
-    """
-    counts = terms.select("chunk_no", F.explode("terms").alias("t")).select("chunk_no", "t.gram", "t.tf")
-    common = vocab.where("common").select("gram", "gram_no", "idf")
-    rare = vocab.where(~F.col("common")).select("gram", "gram_no", "idf")
-    tried = counts.join(broadcast_checked(common, broadcast_rows), "gram", "left")
-    met = tried.where(F.col("idf").isNotNull()).unionByName(
-        tried.where(F.col("idf").isNull()).select(*counts.columns).join(rare.hint("merge"), "gram")
-    )
-    weight = F.col("tf") * F.col("idf")
-    return (
-        met.groupBy("chunk_no")
-        .agg(
-            F.collect_list(F.struct("gram_no", weight.alias("x"))).alias("found"),
-            F.sqrt(F.sum(weight * weight)).alias("length"),
-        )
-        .select(
-            "chunk_no",
-            F.col("found.gram_no").alias("grams"),
-            F.transform("found.x", lambda x: x / F.col("length")).alias("weights"),
-        )
-    )
+    left = answers.select("part", *missing(flat, "chunk_no"), "gram", "gram_no", "idf", *missing(flat, "grams", "tf"))
+    right = flat.select("part", "chunk_no", *missing(answers, "gram", "gram_no", "idf"), "grams", "tf")
+    met = left.unionByName(right).repartitionById(task_count(terms.sparkSession, tasks), F.col("part"))
+    ordered = met.sortWithinPartitions(F.col("chunk_no").isNotNull(), "chunk_no")
+    return ordered.mapInArrow(_weigher, "chunk_no long, grams array<long>, weights array<double>")
 
 
 def build_index(
@@ -174,18 +153,24 @@ def build_index(
     n_min: int = 3,
     n_max: int = 5,
     tasks: int | None = None,
-    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
 ) -> EvidenceIndex:
-    """Write chunks, vocabulary and postings as tables that any number of searches can use."""
+    """Write chunks, vocabulary and postings as tables that any number of searches can use.
+
+    A chunk id that repeats is refused: what is found could not be told apart.
+    """
     foreign = [row[0] for row in foreign_source_types(chunks, source_type).collect()]
     if foreign:
         raise ValueError(f"an index over {source_type} cannot hold chunks of {sorted(foreign)}")
     numbered = number_chunks(chunks)
+    repeated = [row["chunk_id"] for row in duplicate_chunk_ids(numbered).limit(3).collect()]
+    if repeated:
+        raise ValueError(f"chunk ids repeat, such as {sorted(repeated)}")
     terms = write_table(term_counts(numbered, n_min, n_max, tasks), "terms")
-    vocab = write_table(vocabulary(terms, numbered.count()), "vocab")
+    counts = write_table(part_counts(terms), "part_counts")
+    vocab = write_table(vocabulary(counts, numbered.count()), "vocab")
     if has_at_most(vocab, 0):
         raise ValueError(f"nothing to index for {source_type}")
-    return EvidenceIndex(numbered, vocab, write_table(weigh(terms, vocab, broadcast_rows), "postings"), n_min, n_max)
+    return EvidenceIndex(numbered, vocab, write_table(weigh(terms, counts, vocab, tasks), "postings"), n_min, n_max)
 
 
 def posting_rows(index: EvidenceIndex) -> DataFrame:
