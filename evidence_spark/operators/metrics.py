@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 VALIDATORS = {
     "grounding": "grounding_passed",
@@ -109,6 +112,34 @@ def attempt_records(attempts: DataFrame) -> DataFrame:
     return attempts.select(*[kept.get(c, F.col(c)) for c in attempts.columns])
 
 
+def evaluation_report(run_id: str, sections: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
+    """One long table of a run's results: (run_id, section, key, measure, value).
+
+    ``sections`` names result tables and the column that tells their rows apart (none for a table of one row).  Numbers and
+    flags become values; a null has no row.
+    """
+    parts = []
+    for name, (table, key) in sections.items():
+        measures = [f.name for f in table.schema if f.name != key and isinstance(f.dataType, (NumericType, BooleanType))]
+        label = F.col(key).cast("string") if key else F.lit(None).cast("string")
+        cells = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]))
+        rows = table.select(F.lit(run_id).alias("run_id"), F.lit(name).alias("section"), label.alias("key"), cells.alias("c"))
+        parts.append(rows.select("run_id", "section", "key", "c.measure", "c.value").where("value is not null"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def combined_retrieval(results: DataFrame) -> DataFrame:
+    """Retrieval results of several runs (``run_id``, query_id, ...) with every query once: retrieval does not depend on the run.
+
+    Runs that disagree on a query are an error, as one of them was not made on the same index.
+    """
+    hits = [c for c in results.columns if c.startswith("hit_at_")]
+    shown = F.struct("expected_chunks", *hits)
+    once = results.groupBy("query_id").agg(F.min(shown).alias("a"), F.max(shown).alias("b"))
+    same = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.raise_error(F.concat(F.lit("runs disagree on query "), F.col("query_id").cast("string"))).cast(once.schema["a"].dataType))
+    return once.select("query_id", same.alias("r")).select("query_id", "r.*")
+
+
 def combined_report(runs: DataFrame) -> DataFrame:
     """Attempts of several runs (``run_id``) counted together, next to each run alone."""
     together = acceptance_rates(runs).select(F.lit("all").alias("run_id"), "*")

@@ -36,7 +36,11 @@ def generation_prompts(
     system: str = SYSTEM,
     template: str = GENERATION,
 ) -> DataFrame:
-    """One row per target (scope, target_id, category, generation_mode, ...) with messages or errors."""
+    """One row per target (scope, target_id, category, generation_mode, ...) with messages or errors.
+
+    Optional columns of a target say what it was made for, and have to agree with what is asked: ``supplied_reference`` (a style
+    reference given along with it), ``target_category`` and ``relationship_focus`` (the statement its relationship was read from).
+    """
     found = discover_competitors(targets, evidence, lexicon)
     competitors = found.groupBy("scope", "target_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "relationship", "snippet"))).alias("competitors")
@@ -49,12 +53,18 @@ def generation_prompts(
         .join(references, "category", "left")
         .withColumn("reference", F.when(wants, F.col("reference")))
     )
+    agreements = {
+        "supplied_reference": ("a style reference is given for an independent question", wants | F.col("supplied_reference").isNull()),
+        "target_category": ("the target belongs to another category", F.col("target_category").eqNullSafe(F.col("category"))),
+        "relationship_focus": ("the relationship was read from another focus", F.col("relationship_focus").eqNullSafe(F.col("factual_focus"))),
+    }
     checked = check_rows(
         rows,
         {
             "category must not be blank": filled("category"),
             "no evidence for the scope": F.coalesce(F.size("chunks"), F.lit(0)) > 0,
             "no style reference for the category": ~wants | F.col("reference").isNotNull(),
+            **dict(rule for column, rule in agreements.items() if column in targets.columns),
         },
     ).select("*", *p.requirement_texts())
     task = p.fill(

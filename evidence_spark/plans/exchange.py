@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidence_spark.functions import prompts as blocks
-from evidence_spark.operators import identity, prompts, responses
-from evidence_spark.plans import attempts as log, concepts, tables as t
+from evidence_spark.operators import identity, metrics, prompts, responses
+from evidence_spark.plans import attempts as log, concepts, corpus, tables as t
 from evidence_spark.plans.concepts import FOUND, LEXICON, PART_LEXICON
 from evidence_spark.plans.corpus import SEARCH
 
@@ -189,11 +189,14 @@ def _scoped_category():
 
 
 def _generation_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    """Prompts for the targets of every query; some categories have no style reference."""
+    """Prompts for the targets of every query; some categories have no style reference, some targets disagree with what is asked."""
     targets = concepts.query_targets(spark, sf).select(
         "*",
         _scoped_category().alias("category"),
         F.when(F.col("target_id") % 2 == 1, "STYLE_SIMILAR").otherwise("INDEPENDENT").alias("generation_mode"),
+        F.when(F.col("scope") % 7 == 2, 5).alias("supplied_reference"),
+        F.when(F.col("scope") % 7 == 3, "other").otherwise(_scoped_category()).alias("target_category"),
+        F.when(F.col("scope") % 7 == 4, "other").otherwise(F.col("factual_focus")).alias("relationship_focus"),
     )
     references = log.bank.style_references(log._good_bank(spark, sf))
     strategies = targets.where("target_id = 1").select("category", "topic", F.lit("IDENTITY_FIRST").alias("strategy"))
@@ -263,7 +266,25 @@ def _plan_responses(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of every category, the attempts as a whole, and the retrieval of the same run."""
+    sections = {
+        "categories": (log.QUERIES["category_rollup"](spark, sf), "category"),
+        "attempts": (log.QUERIES["acceptance_rates"](spark, sf), None),
+        "retrieval": (corpus.QUERIES["recall_at_k"](spark, sf), None),
+    }
+    return metrics.evaluation_report("run 1", sections)
+
+
+def _combined_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs over one index: their retrieval counts once."""
+    runs = F.explode(F.array(F.lit("run 1"), F.lit("run 2"))).alias("run_id")
+    return metrics.combined_retrieval(corpus.QUERIES["retrieval_hits"](spark, sf).select("*", runs))
+
+
 QUERIES = {
+    "evaluation_report": _evaluation_report,
+    "combined_retrieval": _combined_retrieval,
     "ingested_questions": lambda s, f: _ingested(s, f).select(
         "position",
         "attempt_number",
@@ -344,10 +365,15 @@ style_t AS (SELECT p_brand AS category, 'A model for style only, not a source of
 full_t AS (
   SELECT g.*, rivals, block, CASE WHEN mode = 'STYLE_SIMILAR' THEN style END AS style,
     (g.category, topic) IN (SELECT (category, topic) FROM goal_t WHERE target_id = 1) AS approved
-  FROM goal_t g LEFT JOIN rival_t USING (scope, target_id) LEFT JOIN block_t USING (scope) LEFT JOIN style_t USING (category))
-SELECT scope, target_id, category, mode AS generation_mode,
-  CASE WHEN mode = 'STYLE_SIMILAR' AND style IS NULL THEN 'no style reference for the category' ELSE '' END AS errors,
-  CASE WHEN mode = 'STYLE_SIMILAR' AND style IS NULL THEN NULL ELSE
+  FROM goal_t g LEFT JOIN rival_t USING (scope, target_id) LEFT JOIN block_t USING (scope) LEFT JOIN style_t USING (category)),
+fault_t AS (
+  SELECT *, concat_ws('; ',
+    CASE WHEN mode = 'STYLE_SIMILAR' AND style IS NULL THEN 'no style reference for the category' END,
+    CASE WHEN mode = 'INDEPENDENT' AND scope % 7 = 2 THEN 'a style reference is given for an independent question' END,
+    CASE WHEN scope % 7 = 3 THEN 'the target belongs to another category' END,
+    CASE WHEN scope % 7 = 4 THEN 'the relationship was read from another focus' END) AS errors FROM full_t)
+SELECT scope, target_id, category, mode AS generation_mode, errors,
+  CASE WHEN errors = '' THEN
     'Category: ' || category || chr(10) || 'Mode: ' || mode || chr(10) || 'Relationship: ' || relationship || chr(10) || chr(10)
     || '=== question target ===' || chr(10) || 'Topic: ' || topic || chr(10) || 'Focus: ' || focus || chr(10)
     || '=== end of question target ===' || chr(10) || chr(10) || {_RULES['identity']} || chr(10)
@@ -358,7 +384,7 @@ SELECT scope, target_id, category, mode AS generation_mode,
     || '=== end of competing passages ===' || chr(10) || chr(10) || block || chr(10) || chr(10)
     || '=== style reference ===' || chr(10) || coalesce(style, 'No style reference is given.') || chr(10)
     || '=== end of style reference ===' END AS task
-FROM full_t"""
+FROM fault_t"""
 _COVERED = concepts.ORACLES["category_coverage"]
 
 ORACLES = {
@@ -409,3 +435,15 @@ ORACLES = {
       unnest([NULL, NULL, '2,4']) AS numbered_answers FROM benchmark""",
     "template_versions": "SELECT doc_id, sha256(text) AS version FROM documents",
 }
+_MEASURES = {
+    "categories": ("category", ("requested_questions", "first_position", "produced_questions", "candidate_attempts", "accepted_candidates",
+        "rejected_candidates", "exhausted_units", "operational_failures"), log.ORACLES["category_rollup"]),
+    "attempts": ("NULL", ("attempts", "accepted", "acceptance_rate", "first_attempt_rate"), log.ORACLES["acceptance_rates"]),
+    "retrieval": ("NULL", ("queries", "recall_at_3", "recall_at_5", "recall_at_8"), corpus.ORACLES["recall_at_k"]),
+}
+ORACLES["evaluation_report"] = " UNION ALL ".join(
+    f"""SELECT 'run 1' AS run_id, '{section}' AS section, {key}::VARCHAR AS key, unnest({list(names)}) AS measure,
+      unnest([{', '.join(f'{n}::DOUBLE' for n in names)}]) AS value FROM ({sql})"""
+    for section, (key, names, sql) in _MEASURES.items()
+)
+ORACLES["combined_retrieval"] = f"SELECT query_id, expected_chunks, hit_at_3, hit_at_5, hit_at_8 FROM ({corpus.ORACLES['retrieval_hits']})"

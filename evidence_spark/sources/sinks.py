@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, functions as F
 
 # The public fields of a question, in order.
 QUESTION_FIELDS = ("number", "question", "answer1", "answer2", "answer3", "answer4", "correct_answer", "category")
@@ -18,6 +20,20 @@ def write_question_set(questions: DataFrame, path: str, force: bool = False) ->
     write_json(questions.select(*QUESTION_FIELDS), path, force)
 
 
+def write_report(report: DataFrame, config: dict[str, str], folder: str, generated_at: datetime | None = None, force: bool = False) -> None:
+    """An evaluation report (run_id, section, key, measure, value) with the run's metadata beside it.
+
+    ``report`` is parquet by run and section; ``run`` has the configuration and the time of each run.  Without ``force`` neither may exist.
+    """
+    if not force and any(_exists(report, f"{folder}/{part}") for part in ("report", "run")):
+        raise FileExistsError(f"{folder}: a report already exists")
+    made = generated_at or datetime.now(timezone.utc)
+    settings = F.create_map(*[F.lit(x) for pair in sorted(config.items()) for x in pair]) if config else F.create_map().cast("map<string,string>")
+    run = report.select("run_id").distinct().select("run_id", F.lit(made.isoformat()).alias("generated_at"), settings.alias("config"))
+    report.write.mode("overwrite" if force else "errorifexists").partitionBy("run_id", "section").parquet(f"{folder}/report")
+    write_json(run, f"{folder}/run", force)
+
+
 def write_bundle(questions: DataFrame, audit: DataFrame, folder: str, force: bool = False) -> None:
     """The audit is always written, the question set only if there are questions.
 

@@ -323,3 +323,31 @@ def test_shared_folder(spark, monkeypatch):
     assert own == tables.shared_folder(Session("local[2]", None))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         tables.shared_folder(Session("spark://host", None))
+
+
+def test_report_is_one_table_and_its_sink_keeps_the_run(spark, tmp_path):
+    rates = spark.createDataFrame([(4, 0.5, None)], "attempts int, rate double, missing double")
+    kinds = spark.createDataFrame([("a", 1, True), ("b", 2, False)], "category string, n long, complete boolean")
+    report = metrics.evaluation_report("r1", {"attempts": (rates, None), "categories": (kinds, "category")})
+    got = {tuple(r) for r in report.collect()}
+    assert got == {
+        ("r1", "attempts", None, "attempts", 4.0), ("r1", "attempts", None, "rate", 0.5),
+        ("r1", "categories", "a", "n", 1.0), ("r1", "categories", "a", "complete", 1.0),
+        ("r1", "categories", "b", "n", 2.0), ("r1", "categories", "b", "complete", 0.0),
+    }
+    sinks.write_report(report, {"top_k": "8"}, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/report")).where("section = 'categories'").count() == 4
+    run = spark.read.json(str(tmp_path / "out/run")).first()
+    assert run.run_id == "r1" and run.config.top_k == "8" and "T" in run.generated_at
+    with pytest.raises(FileExistsError):
+        sinks.write_report(report, {}, str(tmp_path / "out"))
+    sinks.write_report(report, {}, str(tmp_path / "out"), force=True)
+
+
+def test_retrieval_of_several_runs_counts_once(spark):
+    rows = [("r1", 1, 2, True), ("r2", 1, 2, True), ("r1", 2, 5, False), ("r3", 3, 1, True)]
+    results = spark.createDataFrame(rows, "run_id string, query_id long, expected_chunks long, hit_at_3 boolean")
+    assert {tuple(r) for r in metrics.combined_retrieval(results).collect()} == {(1, 2, True), (2, 5, False), (3, 1, True)}
+    bent = results.union(spark.createDataFrame([("r2", 2, 5, True)], results.schema))
+    with pytest.raises(Exception, match="runs disagree on query 2"):
+        metrics.combined_retrieval(bent).collect()
