@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidence_spark.functions.concepts import CONCEPT_LINE
-from evidence_spark.functions.text import LINE_END, WHITESPACE_CLASS
+from evidence_spark.functions.text import LINE_END, WHITESPACE_CLASS, normalize
 from evidence_spark.operators import analysis, anchoring, concepts, identity, relations, targets
 from evidence_spark.plans import tables as t
 from evidence_spark.plans.corpus import CHUNKS, SEARCH, strip_sql
@@ -175,7 +175,8 @@ _BEFORE, _AFTER = _split("focus")
 _UNPUNCTUATED = "regexp_replace(concept, '[().,]', ' ', 'g')"
 _FORMS = f"list_distinct([{_norm('concept')}, {_norm(_UNPUNCTUATED)}])"
 _TARGETS = f"""
-tested_t AS (SELECT scope, {_norm('concept')} AS form FROM inv_t WHERE rank < 2000000),
+known_t AS (SELECT DISTINCT scope, {_norm('concept')} AS form FROM inv_t),
+tested_t AS (SELECT scope, form FROM known_t WHERE form IN (SELECT form FROM known_t GROUP BY form HAVING count(*) > 1)),
 open_t AS (
   SELECT * FROM place_t p WHERE NOT EXISTS (
     SELECT 1 FROM tested_t s WHERE s.scope = p.scope AND list_contains({_FORMS.replace('concept', 'p.concept')}, s.form))),
@@ -199,9 +200,10 @@ def _inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tested(spark: SparkSession, sf: str) -> DataFrame:
-    """What the first page names counts as asked already."""
-    first = _inventory(spark, sf).where(F.col("rank") < 2_000_000)
-    return first.select("scope", F.col("concept").alias("answer"))
+    """What several files name counts as asked already in each of them."""
+    named = _inventory(spark, sf).select("scope", F.col("concept").alias("answer"), normalize("concept").alias("form"))
+    several = named.groupBy("form").agg(F.min("scope").alias("a"), F.max("scope").alias("b")).where("a < b").select("form")
+    return named.join(several, "form", "left_semi").select("scope", "answer").distinct()
 
 
 def _refined(spark: SparkSession, sf: str) -> DataFrame:
@@ -307,7 +309,7 @@ _SNIPPET = strip_sql(
     "substring(text, greatest(spot - 80, 0) + 1, least(length(text), spot + length(keyword) + 80) - greatest(spot - 80, 0))"
 )
 _PAIRS = ", ".join(f"{{'r': '{name}', 'k': '{k}'}}" for name, keywords in LEXICON for k in keywords)
-_QUERY_TARGETS = _TARGETS.replace("WHERE rank < 2000000", "WHERE false")
+_QUERY_TARGETS = _TARGETS.replace("HAVING count(*) > 1", "HAVING false")
 
 ORACLES = {
     "concept_inventory": f"""WITH RECURSIVE {CORPUS}, {_INVENTORY}
