@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession, functions as F
@@ -47,6 +48,7 @@ def main() -> None:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="evidence-bench-"),
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("evidence-bench")
     for name, value in settings.items():
