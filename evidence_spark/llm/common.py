@@ -53,6 +53,15 @@ def with_ids(result: DataFrame, keys: DataFrame | None) -> DataFrame:
     return result.withColumnRenamed("doc_id", "key").join(keys, "key").select(*columns)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps whose result is written.
+
+    Spark deletes them when the driver has collected the plan as garbage, which a driver with memory to spare does
+    rarely; until then every step's files lie on the disks.  Nothing depends on it: results are the same without.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evidence_spark.llm.common import partitions, slices, texts_of, with_document_key, with_ids, word_bounds
-from evidence_spark.llm.repeats import _bucket, _copies, _doc_bucket, _first_places, _Hashes, _lists, _marked, _MARKED, _mixed, _pack, _PACKED, _with_documents
+from evidence_spark.llm.common import partitions, release, slices, texts_of, with_document_key, with_ids, word_bounds
+from evidence_spark.llm.repeats import _bucket, _copies, _doc_bucket, _first_places, _Hashes, _marked, _MARKED, _mixed, _with_documents
 from evidence_spark.sources.tables import write_table
 
 SIMILARITY = Fraction(4, 5)
@@ -20,8 +20,8 @@ SKETCH_BITS = 16
 #: Lines of one token that are compared pair by pair in sets; more are compared as matrices.
 _FEW = 48
 _RUN_BYTES = 3 << 20
-#: In place of the tokens behind a prefix token: the line has an equal one before it in its run.
-_GONE = -1
+#: In place of the tokens behind a prefix token: the line has an equal one before it in its run; the entry is for a whole line.
+_GONE, _NAME = -1, -2
 
 
 def _needed(n: int, similarity: Fraction) -> int:
@@ -95,6 +95,34 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(held[slot])], names=["slot", "n"])
 
 
+_MET = "bucket int, packed binary"
+#: Columns of an entry; the first ones are as good as random and stay as they are, the others are compressed.
+_RANDOM, _PLAIN = ("h", "d", "before"), ("bits", "doc", "start", "size", "rest")
+
+
+def _entries(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row per bucket with its entries in the order given: their number, the random columns, and the others compressed."""
+    short = bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket  # sorted by digits
+    order = np.argsort(short, kind="stable")
+    columns = {k: np.ascontiguousarray(v[order].astype(np.int64, copy=False)) for k, v in columns.items()}
+    found, heads = np.unique(bucket[order], return_index=True)
+    codec = pa.Codec("zstd", compression_level=1)
+    rows = []
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
+        # the bytes of a column lie by significance, so that the high ones, which agree, vanish
+        planes = b"".join(columns[k][a:b].view(np.uint8).reshape(-1, 8).T.tobytes() for k in _PLAIN)
+        rows.append(np.array([b - a], np.int64).tobytes() + b"".join(columns[k][a:b].tobytes() for k in _RANDOM) + codec.compress(planes, asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "packed"])
+
+
+def _entry_columns(packed: bytes) -> dict[str, np.ndarray]:
+    n = int(np.frombuffer(packed[:8], np.int64)[0])
+    cut = 8 + 8 * n * len(_RANDOM)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(packed[cut:], decompressed_size=8 * n * len(_PLAIN), asbytes=True), np.uint8)
+    plain = np.ascontiguousarray(planes.reshape(len(_PLAIN), 8, n).transpose(0, 2, 1)).view(np.int64).reshape(len(_PLAIN), n)
+    return dict(zip((*_RANDOM, *_PLAIN), [*np.frombuffer(packed[8:cut], np.int64).reshape(len(_RANDOM), n), *plain], strict=True))
+
+
 def _scanner(sketch: np.ndarray, buckets: int, similarity: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,26 +141,24 @@ def _scanner(sketch: np.ndarray, buckets: int, similarity: Fraction):
                 lines = line[heads]
                 bits = _counters(token, np.repeat(np.arange(len(heads)), size), len(heads))
                 doc, start = ids[text[lines]], number[lines].astype(np.int32)
-                first, later = _first_places(doc, start, second, name)  # the later ones go, whatever other runs hold
+                first, later = (np.sort(x) for x in _first_places(doc, start, second, name))  # the later ones go, whatever other runs hold
                 once = first[size[first] >= _least_size(similarity)]  # shorter sets are similar only when equal
                 n = size[once]
                 prefix = n - -(-n * similarity.numerator // similarity.denominator) + 1
                 owner = np.repeat(once, prefix)
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
                 at = heads[owner] + place
-                h = np.concatenate([name[first], token[at], name[later]]).view(np.int64)
                 which = np.concatenate([first, owner, later])
-                none, gone = np.zeros(len(first), np.int64), np.full(len(later), _GONE, np.int64)
-                rest = np.concatenate([none, size[owner] - 1 - place, gone]).astype(np.int32)
+                named, gone = np.zeros(len(first), np.int64), np.zeros(len(later), np.int64)
+                h = np.concatenate([name[first], token[at], name[later]])
+                rest = np.concatenate([named + _NAME, size[owner] - 1 - place, gone + _GONE])
                 before = np.where(place > 0, token[np.maximum(at, 1) - 1], second[owner])  # no two sets share it
-                before = np.concatenate([none, before.view(np.int64), gone])
-                met = _bucket(_mixed(h.view(np.uint64)).view(np.int64), buckets)
-                yield _pack(
-                    np.where(rest == _GONE, _doc_bucket(doc[which], buckets), met), buckets,
+                yield _entries(
+                    np.where(rest == _GONE, _doc_bucket(doc[which], buckets), _bucket(_mixed(h).view(np.int64), buckets)),
                     {
-                        "h": (h, pa.int64()), "c": (name[which].view(np.int64), pa.int64()), "d": (second[which].view(np.int64), pa.int64()),
-                        "doc": (doc[which], pa.int64()), "start": (start[which], pa.int32()),
-                        "bits": (bits[which].view(np.int64), pa.int64()), "rest": (rest, pa.int32()), "before": (before, pa.int64()),
+                        "h": h, "d": second[which], "before": np.concatenate([named, before.view(np.int64), gone]),
+                        "bits": np.concatenate([named, bits[owner].view(np.int64), gone]),
+                        "doc": doc[which], "start": start[which], "size": size[which], "rest": rest,
                     },
                 )
 
@@ -146,26 +172,28 @@ def _settler(similarity: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            if len(batch):
-                entry = tuple(_lists(batch, x) for x in _ENTRY)
-                gone = entry[6] == _GONE
+            for packed in batch.column(1).to_pylist():
+                entry = _entry_columns(packed)
+                gone = entry["rest"] == _GONE
                 if gone.any():
-                    yield _copies(entry[3][gone], entry[4][gone], np.zeros(int(gone.sum()), np.int32))
-                held.append(tuple(x[~gone] for x in entry))
-        if not sum(len(x[0]) for x in held):
+                    yield _copies(entry["doc"][gone], entry["start"][gone].astype(np.int32), np.zeros(int(gone.sum()), np.int32))
+                held.append({k: v[~gone].astype(np.int32 if k in ("start", "size", "rest") else np.int64) for k, v in entry.items()})
+        if not sum(len(x["h"]) for x in held):
             return
-        h, c, d, doc, start, bits, rest, before = (np.concatenate(x) for x in zip(*held, strict=True))
-        size = (c & 0xFFFF).astype(np.int64)
-        order = np.lexsort((start, doc, d, c, size, h))
-        h, c, d, doc, start, size, bits = h[order], c[order], d[order], doc[order], start[order], size[order], bits[order].view(np.uint64)
-        new_h = np.concatenate([[True], h[1:] != h[:-1]])
-        new_c = new_h | np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
+        column = {k: np.concatenate([x[k] for x in held]) for k in (*_RANDOM, *_PLAIN)}
+        del held
+        # sets are equal if size, key, second hash and counters are
+        order = np.lexsort([column[k] for k in ("start", "doc", "bits", "d", "size", "h")])
+        column = {k: v[order] for k, v in column.items()}
+        h, d, doc, start, size, bits, rest, before = (column[k] for k in ("h", "d", "doc", "start", "size", "bits", "rest", "before"))
+        named = rest == _NAME
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (size[1:] != size[:-1]) | (d[1:] != d[:-1]) | (bits[1:] != bits[:-1]) | (named[1:] != named[:-1])])
         same = np.concatenate([[False], (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])])
-        gone = ~new_c & (h == c) & ~same
+        gone = ~new & named & ~same
         yield _copies(doc[gone], start[gone], np.zeros(int(gone.sum()), np.int32))
-        lead = np.flatnonzero(new_c & (h != c))
-        h, doc, start, size, bits = h[lead], doc[lead], start[lead], size[lead], bits[lead]
-        rest, before = rest[order][lead].astype(np.int64), before[order][lead]
+        lead = np.flatnonzero(new & ~named)
+        h, doc, start, size, bits = h[lead], doc[lead], start[lead], size[lead].astype(np.int64), bits[lead].view(np.uint64)
+        rest, before = rest[lead].astype(np.int64), before[lead]
         wanted = np.zeros(len(h), bool)
         one, step = np.arange(len(h)), 0
         top, low = similarity.numerator, similarity.denominator
@@ -187,8 +215,6 @@ def _settler(similarity: Fraction):
     return run
 
 
-_MET = _PACKED.replace(", c array<long>", ", c array<long>, d array<long>") + ", bits array<long>, rest array<int>, before array<long>"
-_ENTRY = ("h", "c", "d", "doc", "start", "bits", "rest", "before")
 _SETS = "bucket int, key long, doc long, start int, tokens binary"
 
 
@@ -333,8 +359,10 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     sketch = np.argsort(np.argsort(sketch, kind="stable"), kind="stable").astype(np.uint16)
     met = narrow.mapInArrow(_scanner(sketch, buckets, similarity), _MET).repartitionById(buckets, F.col("bucket"))
     settled = write_table(met.mapInArrow(_settler(similarity), _MARKED), "lines")
+    release(spark)
     sets = _with_documents(narrow, settled.where("h is not null"), _fetcher(sketch, buckets), _SETS, buckets)
-    similar = sets.repartitionById(buckets, F.col("bucket")).mapInArrow(_verifier(similarity), _MARKED)
+    similar = write_table(sets.repartitionById(buckets, F.col("bucket")).mapInArrow(_verifier(similarity), _MARKED), "similar")
+    release(spark)
     marks = settled.where("h is null").unionByName(similar)
     shape = "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept binary"
     return with_ids(_with_documents(narrow, marks, _remover, shape, buckets), keys)

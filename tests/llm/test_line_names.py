@@ -12,11 +12,10 @@ from evidence_spark.llm import lines
 
 def test_equal_names_are_not_enough():
     """Two different sets of one size with one 48-bit name, and a true copy."""
-    name, columns = 12 << 16 | 5, [f.split()[0] for f in lines._MET.split(", ")]
-    made = {"h": [name] * 3, "c": [name] * 3, "d": [1, 2, 2], "doc": [1, 2, 3], "start": [0, 0, 0], "bits": [0] * 3, "rest": [0] * 3, "before": [0] * 3}
-    kinds = {"start": pa.int32(), "rest": pa.int32()}
-    arrays = [pa.array([[*made[c]]], pa.list_(kinds.get(c, pa.int64()))) if c in made else pa.array([0], pa.int32()) for c in columns]
-    found = list(lines._settler(lines.SIMILARITY)([pa.RecordBatch.from_arrays(arrays, names=columns)]))
+    name = 12 << 16 | 5
+    made = {"h": [name] * 3, "d": [1, 2, 2], "before": [0] * 3, "bits": [0] * 3, "doc": [1, 2, 3], "start": [0] * 3, "size": [5] * 3, "rest": [lines._NAME] * 3}
+    batch = lines._entries(np.zeros(3, np.int64), {k: np.array(v, np.int64) for k, v in made.items()})
+    found = list(lines._settler(lines.SIMILARITY)([batch]))
     assert [r["doc"] for b in found for r in b.to_pylist()] == [3]
 
 
@@ -24,7 +23,7 @@ def test_second_hash_tells_sets_apart():
     sketch = np.zeros(1 << lines.SKETCH_BITS, np.uint16)
     texts = ["a b c d e", "e d c b a a", "a b c d f"]
     batch = pa.RecordBatch.from_arrays([pa.array(range(3), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
-    rows = [r for b in lines._scanner(sketch, 4, lines.SIMILARITY)([batch]) for r in b.to_pylist()]
+    rows = [lines._entry_columns(p) for b in lines._scanner(sketch, 4, lines.SIMILARITY)([batch]) for p in b.column(1).to_pylist()]
     second = {}
     for r in rows:
         for doc, d in zip(r["doc"], r["d"], strict=True):
@@ -32,6 +31,19 @@ def test_second_hash_tells_sets_apart():
     assert all(len(d) == 1 for d in second.values()) and second[0] == second[1] != second[2]
 
 
+def test_entries_come_back():
+    rng = np.random.default_rng(3)
+    low, high = -(1 << 63), (1 << 63) - 1
+    made = {k: rng.integers(low, high, 50) for k in (*lines._RANDOM, *lines._PLAIN)}
+    made["rest"][:20], made["rest"][20:30] = lines._GONE, lines._NAME
+    bucket = rng.integers(0, 3, 50)
+    batch = lines._entries(bucket, made)
+    assert batch.column(0).to_pylist() == [0, 1, 2]
+    for number, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        back = lines._entry_columns(packed)
+        assert sorted(zip(*(back[k] for k in made), strict=True)) == sorted(zip(*(made[k][bucket == number] for k in made), strict=True))
+
+
 @pytest.mark.parametrize("similarity", [Fraction(1, 2), Fraction(3, 4), Fraction(9, 10), Fraction(1)])
 def test_other_similarities(spark, similarity):
     rng = random.Random(8)
