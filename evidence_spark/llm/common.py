@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,8 +59,11 @@ def release(spark: SparkSession) -> None:
 
     Spark deletes them when the driver has collected the plan as garbage, which a driver with memory to spare does
     rarely; until then every step's files lie on the disks.  Nothing depends on it: results are the same without.
+    A step's plan is still held for a moment after its end, until the last of its events is handled.
     """
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.5, 1.0):
+        time.sleep(pause)
+        spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -215,37 +215,73 @@ def _settler(similarity: Fraction):
     return run
 
 
-_SETS = "bucket int, key long, doc long, start int, tokens binary"
+_LINES = "bucket int, key long, doc long, start int, line binary"
+#: Text of lines that are compressed together, one piece per bucket.
+_PACK_BYTES = 8 << 20
 
 
-def _fetcher(sketch: np.ndarray, buckets: int):
+def _fetcher(buckets: int):
+    """Lines that are wanted at some token, by the token's bucket."""
     def work(texts: Iterator[tuple[int, bytes]], table: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc, text in texts:
             a, b = np.searchsorted(table[0], [doc, doc + 1])
-            if a == b:
-                continue
-            cut = text.split(b"\n")
-            numbers = np.unique(table[1][a:b])
-            body = np.frombuffer(b"".join(cut[i] for i in numbers), np.uint8)
-            offsets = np.concatenate([[0], np.cumsum([len(cut[i]) for i in numbers])])
-            starts, ends, counts = word_bounds(body, offsets)
-            token, line = _tokens(_Hashes(body).of(starts, ends), np.repeat(np.arange(len(numbers)), counts), sketch)
-            bounds = np.searchsorted(line, np.arange(len(numbers) + 1))
-            sets = {int(i): token[x:y].tobytes() for i, x, y in zip(numbers, bounds, bounds[1:], strict=False)}
-            rows += [(h, doc, start, sets[start]) for start, h in zip(table[1][a:b].tolist(), table[3][a:b].tolist(), strict=True)]
+            if a < b:
+                cut = text.split(b"\n")
+                rows += [(h, doc, start, cut[start]) for start, h in zip(table[1][a:b].tolist(), table[3][a:b].tolist(), strict=True)]
         if rows:
-            key, doc, start, tokens = zip(*rows, strict=True)
+            key, doc, start, line = zip(*rows, strict=True)
             key = np.array(key, np.int64)
             bucket = _bucket(_mixed(key.view(np.uint64) + np.uint64(1)).view(np.int64), buckets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket.astype(np.int32)), pa.array(key), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(tokens, pa.binary())],
-                names=[f.split()[0] for f in _SETS.split(", ")],
+                [pa.array(bucket.astype(np.int32)), pa.array(key), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(line, pa.binary())],
+                names=[f.split()[0] for f in _LINES.split(", ")],
             )
 
     return work
 
 
+def _packed_lines(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row per bucket: its number of lines and their bytes, and compressed key, document, place, length and text."""
+    table = pa.Table.from_batches(held)
+    bucket, key, doc, start = (table.column(i).to_numpy().astype(np.int64) for i in range(4))
+    texts = table.column(4).to_pylist()
+    numbers = np.stack([key, doc, start, np.array([len(t) for t in texts], np.int64)])
+    order = np.argsort(bucket, kind="stable")
+    found, heads = np.unique(bucket[order], return_index=True)
+    codec = pa.Codec("zstd", compression_level=1)
+    rows = []
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
+        mine = order[a:b]
+        whole = numbers[:, mine].tobytes() + b"".join(texts[i] for i in mine.tolist())
+        rows.append(np.array([b - a, len(whole)], np.int64).tobytes() + codec.compress(whole, asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "packed"])
+
+
+def _line_packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            size += batch.nbytes
+        if size >= _PACK_BYTES:
+            yield _packed_lines(held)
+            held, size = [], 0
+    if held:
+        yield _packed_lines(held)
+
+
+def _line_sets(packed: bytes, sketch: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(key, document, place) and the token set of every line of a piece."""
+    n, size = np.frombuffer(packed[:16], np.int64).tolist()
+    whole = pa.Codec("zstd").decompress(packed[16:], decompressed_size=size, asbytes=True)
+    *places, lengths = np.frombuffer(whole[: 32 * n], np.int64).reshape(4, n)
+    body = np.frombuffer(whole[32 * n :], np.uint8)
+    starts, ends, counts = word_bounds(body, np.concatenate([[0], np.cumsum(lengths)]))
+    token, line = _tokens(_Hashes(body).of(starts, ends), np.repeat(np.arange(n), counts), sketch)
+    return np.stack(places), np.split(token, np.searchsorted(line, np.arange(1, n)))
+
+
 def later_matches(key: int, sets: list[np.ndarray], similarity: Fraction) -> list[int]:
     """Of lines in order that share token ``key``, the numbers of those with an earlier similar one."""
     top, low = similarity.numerator, similarity.denominator
@@ -292,24 +328,27 @@ def later_matches(key: int, sets: list[np.ndarray], similarity: Fraction) -> lis
     return np.flatnonzero(found).tolist()
 
 
-def _verifier(similarity: Fraction):
+def _verifier(sketch: np.ndarray, similarity: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held or not sum(map(len, held)):
+        places, tokens = [], []
+        for batch in batches:
+            for packed in batch.column(1).to_pylist():
+                place, sets = _line_sets(packed, sketch)
+                places.append(place)
+                tokens += sets
+        if not tokens:
             return
-        table = pa.Table.from_batches(held)
-        key, doc, start = (table.column(i).to_numpy() for i in (1, 2, 3))
-        tokens = table.column(4).combine_chunks()
+        key, doc, start = np.concatenate(places, axis=1)
         order = np.lexsort((start, doc, key))
         k, d, s = key[order], doc[order], start[order]
-        # a repeated row sends its sets again; a line is not similar to itself
+        # a repeated row sends its lines again; a line is not similar to itself
         order = order[np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (s[1:] != s[:-1])])]
         heads = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
         gone = []
         for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
             mine = order[a:b]
             if b - a > 1:
-                sets = [np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in mine]
+                sets = [tokens[i] for i in mine.tolist()]
                 gone += [int(mine[j]) for j in later_matches(int(np.int64(key[mine[0]]).view(np.uint64)), sets, similarity)]
         at = np.array(gone, np.int64)
         if len(at):
@@ -345,7 +384,7 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     different texts of one doc_id are documents in order of their checksum, and rows without one come last.
 
     Words are ordered by a frequency sketch of fixed size, so any order is the same in every task; equal sets
-    collapse first; a line's prefix tokens meet the other lines', and a line sends its set only where it and another
+    collapse first; a line's prefix tokens meet the other lines', and a line is sent only where it and another
     share their first token and length, position and token counters leave the pair over.
     """
     spark = docs.sparkSession
@@ -360,8 +399,8 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     met = narrow.mapInArrow(_scanner(sketch, buckets, similarity), _MET).repartitionById(buckets, F.col("bucket"))
     settled = write_table(met.mapInArrow(_settler(similarity), _MARKED), "lines")
     release(spark)
-    sets = _with_documents(narrow, settled.where("h is not null"), _fetcher(sketch, buckets), _SETS, buckets)
-    similar = write_table(sets.repartitionById(buckets, F.col("bucket")).mapInArrow(_verifier(similarity), _MARKED), "similar")
+    wanted = _with_documents(narrow, settled.where("h is not null"), _fetcher(buckets), _LINES, buckets).mapInArrow(_line_packer, _MET)
+    similar = write_table(wanted.repartitionById(buckets, F.col("bucket")).mapInArrow(_verifier(sketch, similarity), _MARKED), "similar")
     release(spark)
     marks = settled.where("h is null").unionByName(similar)
     shape = "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept binary"

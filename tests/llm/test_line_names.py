@@ -44,6 +44,20 @@ def test_entries_come_back():
         assert sorted(zip(*(back[k] for k in made), strict=True)) == sorted(zip(*(made[k][bucket == number] for k in made), strict=True))
 
 
+def test_lines_come_back_as_sets():
+    sketch = np.zeros(1 << lines.SKETCH_BITS, np.uint16)
+    texts = [b"a b c", b"c  b a b", "\u00e9 \u00e8".encode(), b"x " * 9000]
+    columns = [pa.array([1, 0, 1, 1], pa.int32()), pa.array([7, 8, -7, 7]), pa.array([1, 2, 3, 4]), pa.array([0, 5, 6, 1], pa.int32()), pa.array(texts, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in lines._LINES.split(", ")])
+    (packed,) = lines._line_packer([batch.slice(0, 2), batch.slice(2)])
+    found = {}
+    for piece in packed.column(1).to_pylist():
+        places, sets = lines._line_sets(piece, sketch)
+        found.update({(k, d, s): frozenset(t.tolist()) for k, d, s, t in zip(*places.tolist(), sets, strict=True)})
+    assert {k: len(t) for k, t in found.items()} == {(7, 1, 0): 3, (8, 2, 5): 3, (-7, 3, 6): 2, (7, 4, 1): 1}
+    assert found[7, 1, 0] == found[8, 2, 5]
+
+
 @pytest.mark.parametrize("similarity", [Fraction(1, 2), Fraction(3, 4), Fraction(9, 10), Fraction(1)])
 def test_other_similarities(spark, similarity):
     rng = random.Random(8)
