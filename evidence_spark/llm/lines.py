@@ -399,7 +399,7 @@ def remove_similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     met = narrow.mapInArrow(_scanner(sketch, buckets, similarity), _MET).repartitionById(buckets, F.col("bucket"))
     settled = write_table(met.mapInArrow(_settler(similarity), _MARKED), "lines")
     release(spark)
-    wanted = _with_documents(narrow, settled.where("h is not null"), _fetcher(buckets), _LINES, buckets).mapInArrow(_line_packer, _MET)
+    wanted = _with_documents(narrow, settled.where("h is not null"), _fetcher(buckets), _MET, buckets, _line_packer)
     similar = write_table(wanted.repartitionById(buckets, F.col("bucket")).mapInArrow(_verifier(sketch, similarity), _MARKED), "similar")
     release(spark)
     marks = settled.where("h is null").unionByName(similar)

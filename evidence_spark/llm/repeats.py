@@ -269,8 +269,10 @@ def _unpack(packed: bytes) -> Iterator[tuple[int, bytes]]:
         at += length
 
 
-def _with_documents(docs: DataFrame, marks: DataFrame, work, schema: str, buckets: int) -> DataFrame:
-    """Bring marks to their documents: both are dealt by document, marks first, and worked on partition by partition."""
+def _with_documents(docs: DataFrame, marks: DataFrame, work, schema: str, buckets: int, finish=iter) -> DataFrame:
+    """Bring marks to their documents: both are dealt by document, marks first, and worked on partition by partition.
+
+    ``finish`` takes all that ``work`` gives in a partition, in the same Python worker."""
     packed = docs.mapInArrow(_doc_packer(buckets), "bucket int, packed binary")
     none = lambda t: F.lit(None).cast(t)
     right = packed.select(
@@ -309,7 +311,7 @@ def _with_documents(docs: DataFrame, marks: DataFrame, work, schema: str, bucket
                     yield from work(_unpack(packed), table)
 
     return (
-        left.unionByName(right).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind").mapInArrow(run, schema)
+        left.unionByName(right).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind").mapInArrow(lambda batches: finish(run(batches)), schema)
     )
 
 
