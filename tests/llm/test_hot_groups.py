@@ -26,7 +26,12 @@ def entries(packed, settled):
 def test_a_common_line_meets_once_per_run():
     sketch = np.zeros(1 << lines.SKETCH_BITS, np.uint16)
     scan = lines._scanner(sketch, 8, lines.SIMILARITY)
-    met, done = entries(scan(runs(["a line that all rows hold"] * 500)), lambda r, i: r["rest"][i] == lines._GONE)
+    met, done = [], []
+    for batch in scan(runs(["a line that all rows hold"] * 500)):
+        for bucket, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = {k: v.tolist() for k, v in lines._entry_columns(packed).items()}
+            for h, doc, start, rest in zip(*(found[k] for k in ("h", "doc", "start", "rest")), strict=True):
+                (done if rest == lines._GONE else met).append((h, rest, doc, start, bucket))
     assert len(met) <= 4 and {d[2] for d in done} == set(range(1, 500))
     assert len({d[4] for d in done}) == 8  # dealt by document
 
