@@ -1,4 +1,4 @@
-"""What a reading of the index costs does not grow with the product of a part's grams and chunks."""
+"""What a reading of the index costs does not grow with the product of a part's grams and chunks, and what it leaves on the disks goes."""
 
 import random
 from dataclasses import replace
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evidence_spark.operators import retrieval, retrieval_eval
 from evidence_spark.operators.chunking import chunk_pages
+from evidence_spark.sources.tables import noted_tables
 from test_index_cost import part
 
 
@@ -56,3 +57,12 @@ def test_literal_truth_reads_no_postings(spark):
     terms = spark.createDataFrame([(1, "e red river r"), (2, "red"), (3, "a blue river"), (4, None)], "query_id long, term string")
     rows = [(r.query_id, r.page) for r in retrieval_eval.literal_truth(index, terms).collect()]
     assert sorted(rows) == [(1, 1), (2, 1), (2, 2)]
+
+
+def test_shuffle_files_go_step_by_step(spark, monkeypatch):
+    written = []
+    with noted_tables() as paths:
+        monkeypatch.setattr(retrieval, "release_shuffles", lambda s: written.append([p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in paths][-1]))
+        index = built(spark, ["red river", "blue"])
+        retrieval.search(index, spark.createDataFrame([(1, "river")], "query_id long, query string")).collect()
+    assert written == ["terms", "part_counts", "vocab", "ranked"]
